@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from archivolt.llm import groups, pagetext
+from archivolt.llm import groups, neighbours, pagetext
 
-MODULES = [groups, pagetext]
+MODULES = [groups, neighbours, pagetext]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from archivolt.llm import groups, leaks, neighbours, pagetext
+from archivolt.llm import groups, leaks, neighbours, pagetext, subjects
 
-MODULES = [groups, leaks, neighbours, pagetext]
+MODULES = [groups, leaks, neighbours, pagetext, subjects]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -239,12 +239,12 @@ class Reader:
                 for (x, fixed, at), line in zip(what, (no, no2)):
                     if at >= 0:
                         misread.add(line)
-                out.append(_cased(w, what[0][1]) + "-" + _cased(w2, what[1][1]) + _moved(after) + after2)
+                out.append(_cased(w, what[0][1]) + "-" + _cased(w2, what[1][1]) + _moved(after, after2))
             else:
                 _, _, fixed, at = what[0]
                 if at >= 0:
                     misread.add(no if at < len(w) else no2)
-                out.append(_cased(w + w2, fixed) + _moved(after) + after2)
+                out.append(_cased(w + w2, fixed) + _moved(after, after2))
             if k2 != k:
                 split.add(no)
         return "".join(out).split("\n"), split, misread
@@ -314,9 +314,14 @@ def _cased(written: str, fixed: str) -> str:
     return fixed[:1].upper() + fixed[1:] if written[:1].isupper() else fixed
 
 
-def _moved(after: str) -> str:
-    """What stood between two joined halves, without its hyphen: the line mark goes behind the word."""
-    return "\n" if "\n" in after else ""
+def _moved(between: str, after: str) -> str:
+    """What follows two joined halves: the line mark that stood between them goes to the next white space."""
+    if "\n" not in between:
+        return after
+    m = re.search(r"\s", after)
+    if not m:
+        return after + "\n"
+    return after[: m.start()] + "\n" + after[m.start() + (m[0] == " ") :]
 
 
 REPAIRED = "id string, repaired string, lines array<struct<line_no:int,kind:string>>"

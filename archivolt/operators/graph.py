@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from archivolt.session import cut_to_table
 
@@ -57,12 +56,10 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
     """(community, q) summands of weighted modularity; their sum is the modularity."""
     m = membership.select("id", "community")
     e = edges.join(m.select(F.col("id").alias("src"), F.col("community").alias("cs")), "src").join(m.select(F.col("id").alias("dst"), F.col("community").alias("cd")), "dst")
-    total = F.sum("weight").over(Window.partitionBy(F.lit(1)))
     inside = e.where(F.col("cs") == F.col("cd")).groupBy(F.col("cs").alias("community")).agg((2 * F.sum("weight")).alias("inside"))
     deg = both_ways(edges).join(m.withColumnRenamed("id", "src"), "src").groupBy("community").agg(F.sum("weight").alias("deg"))
-    two_m = deg.agg(F.sum("deg").alias("two_m"))
-    del total
-    return deg.join(inside, "community", "left").crossJoin(F.broadcast(two_m)).select("community", (F.coalesce("inside", F.lit(0.0)) / F.col("two_m") - resolution * F.pow(F.col("deg") / F.col("two_m"), 2)).alias("q"))
+    two_m = F.lit(deg.agg(F.sum("deg")).first()[0] or 1.0)
+    return deg.join(inside, "community", "left").select("community", (F.coalesce("inside", F.lit(0.0)) / two_m - resolution * F.pow(F.col("deg") / two_m, 2)).alias("q"))
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:

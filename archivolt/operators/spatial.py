@@ -35,8 +35,9 @@ def getis_ord(cells: DataFrame, value_col: str = "n", k: int = 8) -> DataFrame:
     near = nearest_k(cells.select("cell", "lat", "lng"), "cell", "lng", "lat", k).select(F.col("id").alias("cell"), "other")
     own = cells.select("cell", F.col("cell").alias("other"))
     lag = near.union(own).join(v.select(F.col("cell").alias("other"), "x"), "other").groupBy("cell").agg(F.avg("x").alias("lag"), F.count(F.lit(1)).alias("w"))
-    g = v.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("s"))
-    z = (F.col("lag") - F.col("mean")) / (F.col("s") * F.sqrt((F.col("n") / F.col("w") - 1) / (F.col("n") - 1)))
-    ok = (F.col("n") >= 9) & (F.col("s") > 0)
-    out = lag.crossJoin(F.broadcast(g)).withColumn("z", F.when(ok, z).otherwise(0.0))
-    return out.select("cell", F.round("z", 4).alias("z"), F.round(F.when(ok, 2 * (1 - normal_cdf(F.abs("z")))).otherwise(1.0), 6).alias("p"))
+    g = v.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("s")).first()
+    ok = g["n"] >= 9 and (g["s"] or 0) > 0
+    if not ok:
+        return cells.select("cell", F.lit(0.0).alias("z"), F.lit(1.0).alias("p"))
+    out = lag.withColumn("z", (F.col("lag") - g["mean"]) / (g["s"] * F.sqrt((g["n"] / F.col("w") - 1) / (g["n"] - 1))))
+    return out.select("cell", F.round("z", 4).alias("z"), F.round(2 * (1 - normal_cdf(F.abs("z"))), 6).alias("p"))

@@ -39,8 +39,8 @@ def topic_terms(members: DataFrame, toks: Column, n: int = 10, min_df: int = 2,
     tf = terms.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
     size = docs.groupBy("topic").agg(F.count(F.lit(1)).alias("size"))
     words = tf.groupBy("topic").agg(F.sum("tf").alias("words"))
-    avg = words.agg(F.avg("words").alias("avg"))
-    s = tf.join(kept, "term").join(words, "topic").crossJoin(F.broadcast(avg)).withColumn("w", F.round(F.col("tf") / F.col("words") * F.log(1 + F.col("avg") / F.col("f")), 9))
+    avg = words.agg(F.avg("words")).first()[0] or 0.0
+    s = tf.join(kept, "term").join(words, "topic").withColumn("w", F.round(F.col("tf") / F.col("words") * F.log(1 + avg / F.col("f")), 9))
     best = Window.partitionBy("topic").orderBy(F.desc("w"), "term")
     top = s.withColumn("r", F.row_number().over(best)).where(F.col("r") <= n).groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("top"))
     return top.join(size, "topic").select("topic", F.array_join(F.slice("top", 1, 3), ", ").alias("label"), F.slice("top", 1, 8).alias("keywords"), "size")

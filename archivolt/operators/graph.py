@@ -144,7 +144,7 @@ def betweenness_top(edges: DataFrame, top: int = 100) -> DataFrame:
         return pd.DataFrame({"id": nodes, "betweenness": [score[x] * scale for x in nodes]})
 
     idt = dict(edges.dtypes)["src"]
-    return rows.groupBy(F.lit(1)).applyInPandas(lambda p: brandes(p[["src", "dst", "weight"]]), f"id {idt}, betweenness double")
+    return rows.groupBy(F.lit("all").alias("g")).applyInPandas(lambda p: brandes(p[["src", "dst", "weight"]]), f"id {idt}, betweenness double")
 
 
 def force_layout(edges: DataFrame, top: int = 1000, rounds: int = 220, width: float = 1400, height: float = 900, seed: int = 42) -> DataFrame:
@@ -174,4 +174,4 @@ def force_layout(edges: DataFrame, top: int = 1000, rounds: int = 220, width: fl
         return pd.DataFrame({"id": nodes, "x": p[:, 0].round(3), "y": p[:, 1].round(3)})
 
     idt = dict(edges.dtypes)["src"]
-    return rows.groupBy(F.lit(1)).applyInPandas(lambda q: run(q[["src", "dst"]]), f"id {idt}, x double, y double")
+    return rows.groupBy(F.lit("all").alias("g")).applyInPandas(lambda q: run(q[["src", "dst"]]), f"id {idt}, x double, y double")

@@ -51,6 +51,11 @@ def geo_range_join(left: DataFrame, right: DataFrame, km: float = 150.0, window_
 # ---- J3: TF-IDF ----
 
 
+def _gram(n: int):
+    """n words from a position; a closure, since a second parameter would be taken for the index."""
+    return lambda i: F.array_join(F.slice("t", i, F.lit(n)), " ")
+
+
 def tfidf(df: DataFrame, id_col: str, toks: Column, ngram: tuple[int, int] = (1, 2), min_df: int = 2, max_features: int = 50_000) -> DataFrame:
     """(id, term, w): 1 + ln(tf), smooth idf, unit length, over n-grams in at least ``min_df`` rows.
 
@@ -62,7 +67,7 @@ def tfidf(df: DataFrame, id_col: str, toks: Column, ngram: tuple[int, int] = (1,
     for n in range(ngram[0], ngram[1] + 1):
         k = F.size("t") - (n - 1)
         idx = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(idx, lambda i, n=n: F.array_join(F.slice("t", i, F.lit(n)), " ")))
+        grams.append(F.transform(idx, _gram(n)))
     tf = arr.select("id", F.explode(F.concat(*grams)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = df.count()
     vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
@@ -124,9 +129,8 @@ def hamming_join(a: DataFrame, b: DataFrame, id_col: str, hash_col: str, max_dis
 
 def simhash64(toks: Column) -> Column:
     """64-bit simhash of a token array as 16 hex digits, from the md5 of the tokens."""
-    hexes = F.transform(toks, lambda t: F.left(F.md5(t), F.lit(16)))
-    words = F.transform(hexes, lambda h: F.conv(h, 16, -10).cast("bigint"))
-    votes = F.transform(F.sequence(F.lit(63), F.lit(0), F.lit(-1)), lambda k: F.aggregate(words, F.lit(0), lambda s, w: s + F.when(F.shiftrightunsigned(w, k.cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1, 1).otherwise(-1)))
+    words = F.transform(toks, lambda t: F.lpad(F.conv(F.left(F.md5(t), F.lit(16)), 16, 2), 64, "0"))
+    votes = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.aggregate(words, F.lit(0), lambda s, w: s + F.when(F.substr(w, k, F.lit(1)) == "1", 1).otherwise(-1)))
     bits = F.array_join(F.transform(votes, lambda v: F.when(v > 0, "1").otherwise("0")), "")
     return F.lower(F.lpad(F.conv(bits, 2, 16), 16, "0"))
 

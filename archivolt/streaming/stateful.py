@@ -26,7 +26,7 @@ def decide(times: list[float], kept: deque, limit: int, window: float) -> list[t
     return out
 
 
-def admit(df: DataFrame, key: str, ts: str, limit: int, window_s: int, row_id: str, block_s: int | None = None) -> DataFrame:
+def admit(df: DataFrame, key: str, ts: str, limit: int, window_s: int, row_id: str) -> DataFrame:
     """Sliding-window admission per key over a table: adds admitted and retry_after_s.
 
     Whether a request passes depends on those let in before it, which no window
@@ -39,13 +39,22 @@ def admit(df: DataFrame, key: str, ts: str, limit: int, window_s: int, row_id: s
     d = d.withColumn("__new", F.coalesce((F.col("__t") - F.lag("__t").over(w) >= window_s).cast("int"), F.lit(1)))
     d = d.withColumn("__session", F.sum("__new").over(w))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__t", row_id], kind="stable")
-        got = decide(pdf["__t"].tolist(), deque(), limit, window_s)
-        return pd.DataFrame({row_id: pdf[row_id], "admitted": [g[0] for g in got], "retry_after_s": [g[1] for g in got]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, deque()
+        for pdf in batches:
+            ok, retry = [], []
+            for who, n, at in zip(pdf[key], pdf["__session"], pdf["__t"]):
+                if (who, n) != now:
+                    now, kept = (who, n), deque()
+                ((a, r),) = decide([at], kept, limit, window_s)
+                ok.append(a)
+                retry.append(r)
+            yield pd.DataFrame({row_id: pdf[row_id], "admitted": ok, "retry_after_s": retry})
 
     idt = dict(df.dtypes)[row_id]
-    out = d.select(key, "__session", "__t", row_id).groupBy(key, "__session").applyInPandas(run, f"`{row_id}` {idt}, admitted boolean, retry_after_s double")
+    # Sessions lie together and in order; the batches of a task are one pass with the state of one session.
+    chains = d.select(key, "__session", "__t", row_id).repartition(key, "__session").sortWithinPartitions(key, "__session", "__t", row_id)
+    out = chains.mapInPandas(run, f"`{row_id}` {idt}, admitted boolean, retry_after_s double")
     return df.join(out, row_id)
 
 

@@ -31,10 +31,10 @@ BOX = ("x", "y", "z", "day")
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
-    """Great-circle distance on a sphere of radius 6371 km."""
+    """Great-circle distance on a sphere of radius 6371 km; null if a coordinate is (``least`` alone would skip nulls)."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * EARTH_KM * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
 
 
 def usable(lat: Column, lng: Column) -> Column:

@@ -68,7 +68,7 @@ def tfidf(df: DataFrame, id_col: str, toks: Column, ngram: tuple[int, int] = (1,
         k = F.size("t") - (n - 1)
         idx = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
         grams.append(F.transform(idx, _gram(n)))
-    tf = arr.select("id", F.explode(F.concat(*grams)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = arr.select("id", F.explode(F.concat(*grams)).alias("term")).where(F.trim("term") != "").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = df.count()
     vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
     w = tf.join(vocab, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + n_docs) / (1 + F.col("df"))) + 1))

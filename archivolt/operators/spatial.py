@@ -39,5 +39,6 @@ def getis_ord(cells: DataFrame, value_col: str = "n", k: int = 8) -> DataFrame:
     ok = g["n"] >= 9 and (g["s"] or 0) > 0
     if not ok:
         return cells.select("cell", F.lit(0.0).alias("z"), F.lit(1.0).alias("p"))
-    out = lag.withColumn("z", (F.col("lag") - g["mean"]) / (g["s"] * F.sqrt((g["n"] / F.col("w") - 1) / (g["n"] - 1))))
+    spread = g["s"] * F.sqrt((g["n"] / F.col("w") - 1) / (g["n"] - 1))  # 0 where the neighbourhood is everything
+    out = lag.withColumn("z", F.when(spread > 0, F.try_divide(F.col("lag") - g["mean"], spread)).otherwise(0.0))
     return out.select("cell", F.round("z", 4).alias("z"), F.round(2 * (1 - normal_cdf(F.abs("z"))), 6).alias("p"))

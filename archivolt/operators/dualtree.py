@@ -22,10 +22,10 @@ from archivolt.session import cut_to_table
 
 EARTH_KM = 6371.0
 #: Bits of latitude, longitude and time that a node at each level fixes.
-LEVELS = ((0, 0, 0), (1, 2, 2), (2, 3, 4), (3, 4, 6), (4, 5, 8), (5, 6, 10), (6, 7, 12), (7, 8, 13), (8, 9, 14), (9, 10, 15))
+LEVELS = ((0, 0, 0), (2, 3, 3), (4, 5, 7), (6, 7, 11), (8, 9, 13), (9, 10, 15))
 TOP = LEVELS[-1]
 #: Levels at which pairs may leave the recursion; the table is cut there too.
-OUTLETS = (6, 9)
+OUTLETS = (3, 5)
 DAY0, DAY_SPAN = -65_536, 131_072  # the tree's time range: 1790 to 2149; days outside share the end slabs
 BOX = ("x", "y", "z", "day")
 
@@ -65,16 +65,15 @@ def _cells(df: DataFrame) -> DataFrame:
 def _tree(points: DataFrame, label: str) -> DataFrame:
     """Every node of every level: (level, node, parent, n, bounding box)."""
     leaf = points.groupBy("a", "b", "c").agg(F.count(F.lit(1)).alias("n"), *[f(v).alias(f"{v}_{s}") for v in BOX for f, s in ((F.min, "lo"), (F.max, "hi"))])
-    return cut_to_table(_rollup(cut_to_table(leaf, f"{label}-leaves")), f"{label}-nodes")
+    return cut_to_table(_rollup(leaf), f"{label}-nodes")
 
 
 def _rollup(leaf: DataFrame) -> DataFrame:
-    out = []
-    for k in range(len(LEVELS)):
-        ids = leaf.withColumn("node", _node(k, F.col("a"), F.col("b"), F.col("c"))).withColumn("parent", _node(max(0, k - 1), F.col("a"), F.col("b"), F.col("c")))
-        agg = [F.sum("n").alias("n"), F.first("parent").alias("parent")] + [f(f"{v}_{s}").alias(f"{v}_{s}") for v in BOX for f, s in ((F.min, "lo"), (F.max, "hi"))]
-        out.append(ids.groupBy("node").agg(*agg).withColumn("level", F.lit(k)))
-    return reduce(DataFrame.unionByName, out)
+    """All levels in one pass: each leaf counts for its node at every level, combined before the shuffle."""
+    at = lambda k: _node(k, F.col("a"), F.col("b"), F.col("c"))
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), at(k).alias("node"), at(max(0, k - 1)).alias("parent")) for k in range(len(LEVELS))])).alias("i")
+    agg = [F.sum("n").alias("n")] + [f(f"{v}_{s}").alias(f"{v}_{s}") for v in BOX for f, s in ((F.min, "lo"), (F.max, "hi"))]
+    return leaf.select(every, "n", *[f"{v}_{s}" for v in BOX for s in ("lo", "hi")]).groupBy("i.level", "i.node", "i.parent").agg(*agg)
 
 
 def _bounds(l: str, r: str) -> tuple[Column, Column, Column, Column]:

@@ -127,12 +127,13 @@ def hamming_join(a: DataFrame, b: DataFrame, id_col: str, hash_col: str, max_dis
     return hit.join(ids(a, "a_id", "ha"), "ha").join(ids(b, "b_id", "hb"), "hb").where(F.col("a_id") < F.col("b_id")).groupBy("a_id", "b_id").agg(F.min("distance").alias("distance"))
 
 
-def simhash64(toks: Column) -> Column:
-    """64-bit simhash of a token array as 16 hex digits, from the md5 of the tokens."""
-    words = F.transform(toks, lambda t: F.lpad(F.conv(F.left(F.md5(t), F.lit(16)), 16, 2), 64, "0"))
-    votes = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.aggregate(words, F.lit(0), lambda s, w: s + F.when(F.substr(w, k, F.lit(1)) == "1", 1).otherwise(-1)))
-    bits = F.array_join(F.transform(votes, lambda v: F.when(v > 0, "1").otherwise("0")), "")
-    return F.lower(F.lpad(F.conv(bits, 2, 16), 16, "0"))
+def simhash64(df: DataFrame, id_col: str, toks: Column) -> DataFrame:
+    """(id, h): 64-bit simhash of each row's tokens as 16 hex digits, from the md5 of the tokens; no tokens, no row."""
+    word = df.select(F.col(id_col), F.explode(toks).alias("t")).withColumn("x", F.conv(F.left(F.md5("t"), F.lit(16)), 16, -10).cast("bigint"))
+    bit = lambda k: F.sum(F.shiftrightunsigned("x", k).bitwiseAND(F.lit(1).cast("bigint")) * 2 - 1)
+    votes = word.groupBy(id_col).agg(*[bit(k).alias(f"v{k}") for k in range(64)])
+    bits = F.concat(*[F.when(F.col(f"v{k}") > 0, "1").otherwise("0") for k in range(63, -1, -1)])
+    return votes.select(F.col(id_col), F.lower(F.lpad(F.conv(bits, 2, 16), 16, "0")).alias("h"))
 
 
 # ---- J5: exact nearest vectors ----

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from archivolt.functions import dates, numeric, scalars, text
 from archivolt.operators import graph, joins, linkage, retrieval, spatial, topics
 from archivolt.operators.dualtree import haversine_km, usable, written_day
-from archivolt.session import table
+from archivolt.session import cut_to_table, table
 from archivolt.streaming import stateful
 
 QUERIES: dict = {}
@@ -268,7 +268,7 @@ def q_exact_dup(spark, d):
 def q_hamming_join(spark, d):
     """64-bit hashes of record titles at most 3 bits apart, by bands (exact); pairs between hash classes, with their sizes."""
     r = t(spark, d, "search_index").where(F.col("title").isNotNull()).groupBy(text.tokens(F.col("title")).alias("toks")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
-    h = r.select("id", joins.simhash64(F.col("toks")).alias("h")).groupBy("h").agg(F.min("id").alias("id"))
+    h = cut_to_table(joins.simhash64(r, "id", F.col("toks")).groupBy("h").agg(F.min("id").alias("id")), "hashes")
     return joins.hamming_join(h, h, "id", "h", 3, 64)
 
 
@@ -595,7 +595,7 @@ def q_upsert(spark, d):
 
 def _purchases(spark, d) -> DataFrame:
     e = t(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return graph.merge_edges(e.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "weight"))
+    return cut_to_table(graph.merge_edges(e.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "weight")), "graph")
 
 
 @query("""

@@ -13,6 +13,7 @@ bounded in number or length, and none is cut or skipped.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from archivolt.session import bounded_rows, cut_to_table, table
 
 WORD = re.compile(r"[^\W_]+")
-WINDOW, RAREST, BUCKET, LEAST_HITS = 15, 8, 8, 5
+#: Of any 15 words with at most 2 differing, 6 of the 8 rarest agree: no such stretch has fewer than LEAST_HITS.
+WINDOW, RAREST, BUCKET, LEAST_HITS = 15, 8, 8, 6
 LEAST_WORDS, LEAST_SHARE = 14, 0.84
 
 
@@ -71,22 +73,60 @@ def align(p: list[str], d: list[str], shift: int, band: int = 14) -> tuple[int,
     return best[1:]
 
 
-def judge(text: str, cands: list[tuple[int, int, int]], passages: dict[int, list[str]], least_words: int, least_share: float) -> list[tuple[int, str, int, int, int]]:
+def best_score(p: list[str], d: list[str], shift: int, band: int = 14) -> int:
+    """The score that :func:`align` would reach, without the way to it."""
+    width, best = 2 * band + 1, 0
+    before = [0] * (width + 1)
+    n = len(d)
+    for i, w in enumerate(p):
+        now, left = [0] * (width + 1), 0
+        j = i + shift - band
+        for k in range(width):
+            # column k is word j + k of the document; the diagonal stays in its column, "up" comes from the next one
+            if 0 <= j + k < n:
+                c = before[k] + (1 if w == d[j + k] else -1)
+                if before[k + 1] - 1 > c:
+                    c = before[k + 1] - 1
+                if left - 1 > c:
+                    c = left - 1
+                if c > 0:
+                    now[k] = left = c
+                    if c > best:
+                        best = c
+                else:
+                    left = 0
+            else:
+                left = 0
+        before = now
+    return best
+
+
+def judge(text: str, cands: list[tuple[int, int, int, int, int]], passages: dict[int, list[str]], least_words: int, least_share: float) -> list[tuple[int, str, int, int, int]]:
     """(item, 'exact' or 'near', start, passage words, words equal) of each leak in one document.
 
-    ``cands`` holds (item, bucket, hits). Of passages that meet in one place of
-    the document only those with about the most hits are aligned, and of
-    alignments that overlap there the one with most equal words stands.
+    ``cands`` holds (item, bucket, hits, first and last position of the hits).
+    Where another passage has its hits around and much closer, a passage only
+    shares phrases with it and is not aligned; of alignments that overlap the
+    one with most equal words stands.
     """
     ws = words(text)
-    spots = sorted(((b * BUCKET, b * BUCKET + 2 * BUCKET + len(passages[i]), h, i, b) for i, b, h in cands), key=lambda x: -x[2])
+    spots = sorted(cands, key=lambda c: (-c[2], c[0], c[1]))
     aligned = []
-    for lo, hi, hits, item, b in spots:
-        if any(hits < 0.6 * h and lo2 <= lo + 4 and hi - 4 <= hi2 for lo2, hi2, h, *_ in spots[:40]):
+    # equal words less all others: at least so much in any stretch that can pass
+    least_score = math.floor(least_words * (2 * least_share - 1))
+    strong: list[tuple[int, int, float]] = []
+    for item, b, hits, x, y in spots:
+        close = hits / (y - x + 1)
+        if any(x2 - 3 <= x and y <= y2 + 3 and close < 0.75 * c2 for x2, y2, c2 in strong):
             continue
+        if hits >= 10 and len(strong) < 64:
+            strong.append((x, y, close))
+        lo, hi = b * BUCKET, b * BUCKET + 2 * BUCKET + len(passages[item])
         p = passages[item]
         a = max(0, lo - BUCKET)
         seg = ws[a : hi + BUCKET]
+        if best_score(p, seg, lo + BUCKET - a) < least_score:
+            continue
         n, same, m, pi, dj = align(p, seg, lo + BUCKET - a)
         if n >= least_words and same >= least_share * max(n, m):
             aligned.append((same, item, n, a + dj, a + dj + m, same == n == m == len(p)))
@@ -121,17 +161,17 @@ def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
     df = {r["term"]: r["n"] for r in postings.groupBy("term").agg(F.count_distinct("doc_id").alias("n")).toLocalIterator()}
     rarest = spark.createDataFrame(anchors(passages, df), "term string, item_id bigint, off int")
     hits = postings.join(F.broadcast(rarest), "term").withColumn("b", F.floor((F.col("pos") - F.col("off")) / BUCKET).cast("int"))
-    hits = hits.groupBy("doc_id", "item_id", "b").agg(F.count_distinct("off").alias("n"))
+    hits = hits.groupBy("doc_id", "item_id", "b").agg(F.count_distinct("off").alias("n"), F.min("pos").alias("x"), F.max("pos").alias("y"))
     # A passage that begins near a bucket's edge has its postings in two: each bucket counts with its right neighbour.
-    both = hits.select("doc_id", "item_id", "n", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b")).groupBy("doc_id", "item_id", "b").agg(F.sum("n").alias("n"))
-    met = both.where(F.col("n") >= LEAST_HITS).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "b", F.col("n").cast("int").alias("n"))).alias("cands"))
+    both = hits.select("doc_id", "item_id", "n", "x", "y", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b")).groupBy("doc_id", "item_id", "b").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y"))
+    met = both.where(F.col("n") >= LEAST_HITS).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "b", F.col("n").cast("int").alias("n"), "x", "y")).alias("cands"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = []
             for doc, text, cands in zip(pdf["doc_id"], pdf["text"], pdf["cands"]):
                 best: dict[int, tuple] = {}
-                for item, kind, start, n, same in judge(text, [(c["item_id"], c["b"], c["n"]) for c in cands], passages, least_words, least_share):
+                for item, kind, start, n, same in judge(text, [(c["item_id"], c["b"], c["n"], c["x"], c["y"]) for c in cands], passages, least_words, least_share):
                     if item not in best or same > best[item][5]:
                         best[item] = (doc, item, kind, start, n, same)
                 got += best.values()

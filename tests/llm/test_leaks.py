@@ -1,4 +1,7 @@
-from archivolt.llm.leaks import align, anchors, find_leaks, words
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from archivolt.llm.leaks import align, anchors, best_score, find_leaks, words
 
 P = "At the quarry every surveyor pays eleven pence to touch the gilded trumpet that Tenrugil left, and curiously Zanvivi keeps a pearl plaque at its aqueduct naming the meticulous lamplighter."
 FILL = "the analyst closed the sheet and returned the folder to the office in the evening "
@@ -35,6 +38,14 @@ def test_align():
     assert align(p, "q q q".split(), 0) == (0, 0, 0, 0, 0)
 
 
+@given(st.lists(st.sampled_from("abcd"), max_size=25), st.lists(st.sampled_from("abcd"), max_size=25), st.integers(-3, 6))
+@settings(max_examples=80, deadline=None)
+def test_score_of_alignment(p, d, shift):
+    n, same, m, _, _ = align(p, d, shift)
+    assert best_score(p, d, shift) >= 2 * same - max(n, m) - (n + m - 2 * same) or n == 0
+    assert (best_score(p, d, shift) > 0) == (same > 0)
+
+
 def test_anchors_are_the_rarest():
     p = {1: ["the"] * 20 + ["rare"]}
     assert ("rare", 1, 20) in anchors(p, {"the": 100, "rare": 1})

@@ -148,7 +148,12 @@ def similar_nodes(nodes: DataFrame, k: int, least: float, trees: int = TREES, vi
         return spark.createDataFrame([], schema)
     dims = nodes.groupBy(F.length("unit").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
     nodes = nodes.where(F.length("unit") == dims)  # vectors of another length cannot be compared
-    fit = [bytes(r["unit"]) for r in nodes.select("unit", F.xxhash64("node").alias("o")).orderBy("o").limit(fit_rows).collect()]
+    # Rows by least hash; the share is cut first, so that all tasks together send about fit_rows rows to the driver.
+    share = int(min(1.0, 1.3 * fit_rows / n + 0.001) * 1_000_000)
+    some = nodes.select("unit", F.xxhash64("node").alias("o")).where(F.pmod("o", F.lit(1_000_000)) < share)
+    fit = [bytes(r["unit"]) for r in some.orderBy("o").limit(fit_rows).collect()]
+    if not fit:
+        return spark.createDataFrame([], schema)
     forest = spark.sparkContext.broadcast(Forest(_unit(fit), trees, max(4, math.ceil(len(fit) * leaf_rows / n))))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -88,7 +88,9 @@ class Reader:
         self.lex = lex
         self.logp = math.log(max(1, sum(lex.values())))
         self.furniture = set(furniture)
-        self.folded = [t.lower() for t in furniture]
+        self.folded: dict[int, list[str]] = {}
+        for t in furniture:
+            self.folded.setdefault(len(t), []).append(t.lower())
         self.word = lru_cache(200_000)(self._word)
         self.stamp = lru_cache(50_000)(self._stamp)
 
@@ -99,14 +101,19 @@ class Reader:
             return True
         low = t.lower()
         most = 2 if len(low) >= 8 else 1
-        return len(low) >= 6 and any(abs(len(low) - len(f)) <= most and edits(low, f, most) <= most for f in self.folded)
+        return len(low) >= 6 and any(edits(low, f, most) <= most for n in range(len(low) - most, len(low) + most + 1) for f in self.folded.get(n, ()))
 
     def is_head(self, s: str, heads: list[str]) -> bool:
         low = s.lower()
         if len(low) < 8:
             return any(low == h for h in heads)
+        most = 1 + len(low) // 12
+        # with at most so many edits, one of one more pieces of the line stands in the head as it is
+        step = -(-len(low) // (most + 1))
+        pieces = [low[i : i + step] for i in range(0, len(low), step)]
         for h in heads:
-            most = 1 + len(low) // 12
+            if not any(p in h for p in pieces):
+                continue
             part = h[: len(low)]
             if len(part) >= len(low) - most and (sum(a != b for a, b in zip(low, part)) + len(low) - len(part) <= most or edits(low, part, most) <= most):
                 return True

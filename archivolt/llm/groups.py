@@ -107,4 +107,12 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p5_found": p5_found}
-ORACLE = {}
+ORACLE = {
+    "p5_found": r"""
+WITH RECURSIVE e AS (
+  SELECT regexp_replace(trim(id_a), '^([^:_\-]+)_', '\1:') AS a, regexp_replace(trim(id_b), '^([^:_\-]+)_', '\1:') AS b
+  FROM match_pairs WHERE match_score >= 0.65),
+l AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r(id, other) AS (SELECT a, b FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a)
+SELECT id, min(least(id, other)) AS cluster_id FROM r GROUP BY id""",
+}

@@ -222,4 +222,11 @@ def p3_found(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found}
-ORACLE = {}
+ORACLE = {
+    "p3_found": """
+WITH v AS (SELECT id, arg_max(vector, (coalesce(model_run, ''), vector))::DOUBLE[] AS x FROM text_vectors
+  WHERE id IS NOT NULL AND len(vector) > 0 AND list_sum(list_transform(vector, lambda y: abs(y::DOUBLE))) > 0 GROUP BY id),
+s AS (SELECT a.id AS q, b.id AS o, list_cosine_similarity(a.x, b.x) AS c FROM v a JOIN v b ON a.id <> b.id),
+t AS (SELECT q, o FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, o) AS rn FROM s WHERE c >= 0.75) WHERE rn <= 5)
+SELECT DISTINCT least(q, o) AS id_a, greatest(q, o) AS id_b FROM t""",
+}

@@ -342,9 +342,11 @@ def repair_pages(records: DataFrame) -> DataFrame:
     lines counted from 1 that are furniture (drop), end inside a word (split)
     or hold a misread word (misread).
     """
-    texts = records.select("id", "text", "title", "agency").where(F.length(F.trim("text")) > 0).distinct()
+    texts = records.select("id", "text", "title", "agency").where(F.length(F.trim("text")) > 0)
     spark = records.sparkSession
     shared = spark.sparkContext.broadcast((lexicon(texts), templates(texts)))
+    if texts.rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism:
+        texts = texts.repartition(2 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(*shared.value)
@@ -352,8 +354,7 @@ def repair_pages(records: DataFrame) -> DataFrame:
             got = [reader.read(t, ti if isinstance(ti, str) else None, a if isinstance(a, str) else None) for t, ti, a in zip(pdf["text"], pdf["title"], pdf["agency"])]
             yield pd.DataFrame({"id": pdf["id"], "repaired": [g[0] for g in got], "lines": [[{"line_no": n, "kind": k} for n, k in g[1]] for g in got]})
 
-    # Whole texts differ much in length; hashing by id spreads them evenly.
-    return texts.repartition(F.xxhash64("id")).mapInPandas(run, REPAIRED)
+    return texts.mapInPandas(run, REPAIRED)
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
@@ -364,7 +365,7 @@ def p6_found(spark, sf_dir: str) -> DataFrame:
 
 def p6_repaired(spark, sf_dir: str) -> DataFrame:
     """The repaired text of every record."""
-    return repair_pages(table(spark, sf_dir, "search_index")).select("id", "repaired")
+    return repair_pages(table(spark, sf_dir, "search_index")).select("id", "repaired").distinct()
 
 
 QUERIES = {"p6_found": p6_found, "p6_repaired": p6_repaired}

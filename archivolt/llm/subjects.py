@@ -37,11 +37,11 @@ SENTENCE = re.compile(r"(?<=[.!?])[\"'»”)\]]*\s+|\n\s*\n|\r\s*\r")
 def sentences(text: str) -> list[str]:
     """Sentences with at least three words."""
     parts = SENTENCE.split(text.replace("\r\n", "\n").replace("\r", "\n"))
-    return [s for s in (" ".join(p.split()) for p in parts if p) if len(WORD.findall(s)) >= 3]
+    return [s for s in (" ".join(p.split()) for p in parts if p) if s.count(" ") >= 2 and len(WORD.findall(s)) >= 3]
 
 
 def words_of(sentence: str) -> set[str]:
-    return {w.lower() for w in WORD.findall(sentence)}
+    return set(WORD.findall(sentence.lower()))
 
 
 def clean_labels(labels: DataFrame, subjects: list[str]) -> DataFrame:
@@ -96,23 +96,30 @@ class Rules:
         else:
             self.pairs.setdefault(min(words), []).append((words, subject, weight))
 
-    def evidence(self, words: set[str]) -> np.ndarray:
-        e = np.zeros(len(self.subjects))
-        for w in words:
-            for s, x in self.single.get(w, ()):
-                e[s] += x
-            for ws, s, x in self.pairs.get(w, ()):
+    def evidence(self, words: set[str]) -> dict[int, float]:
+        """Summed weights of the rules whose words are all there, by subject."""
+        e: dict[int, float] = {}
+        for w in words & self.single.keys():
+            for s, x in self.single[w]:
+                e[s] = e.get(s, 0.0) + x
+        for w in words & self.pairs.keys():
+            for ws, s, x in self.pairs[w]:
                 if ws <= words:
-                    e[s] += x
+                    e[s] = e.get(s, 0.0) + x
         return e
 
-    def subject_of(self, words: set[str]) -> tuple[int, float] | None:
-        """(subject, probability) of the best supported subject; None without evidence."""
+    def best(self, words: set[str]) -> tuple[int, float] | None:
+        """(subject, evidence) of the best supported subject, the first on ties; None without evidence."""
         e = self.evidence(words)
-        k = int(e.argmax()) if len(e) else 0
-        if not len(e) or e[k] <= 0:
+        if not e:
             return None
-        return k, self.rates[max(0, bisect.bisect_right(self.ends, e[k]) - 1)]
+        k = min(e, key=lambda s: (-e[s], s))
+        return (k, e[k]) if e[k] > 0 else None
+
+    def subject_of(self, words: set[str]) -> tuple[int, float] | None:
+        """(subject, probability) of the best supported subject; None without evidence."""
+        got = self.best(words)
+        return got and (got[0], self.rates[max(0, bisect.bisect_right(self.ends, got[1]) - 1)])
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
@@ -190,11 +197,10 @@ def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], max_labe
     hold = sents.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < int(1000 * held_out)).select("words", "has").limit(50_000).collect()
     x, y = [], []
     for r in hold:
-        e = rules.evidence(set(r["words"]))
-        k = int(e.argmax())
-        if e[k] > 0:
-            x.append(e[k])
-            y.append(subjects[k] in r["has"])
+        best = rules.best(set(r["words"]))
+        if best:
+            x.append(best[1])
+            y.append(subjects[best[0]] in r["has"])
     if len(x) >= 200:
         rules.ends, rules.rates = isotonic(np.array(x), np.array(y, float))
     return rules

@@ -290,8 +290,8 @@ class Reader:
         cuts = [0, *reversed(starts), len(lines)]
         return [" ".join(x.strip() for x in lines[a:b] if x.strip()) for a, b in zip(cuts, cuts[1:])]
 
-    def read(self, text: str, title: str | None, agency: str | None) -> tuple[str, list[tuple[int, str]]]:
-        """(repaired text, [(line number, kind)])."""
+    def read(self, text: str, title: str | None, agency: str | None, whole: bool = True) -> tuple[str | None, list[tuple[int, str]]]:
+        """(repaired text if ``whole``, [(line number, kind)])."""
         squeeze = lambda s: " ".join(s.lower().split())
         t, a = squeeze(title or ""), squeeze(agency or "")
         heads = [h for h in (f"{a} / {t}" if a and t else "", t, a) if h]
@@ -310,6 +310,8 @@ class Reader:
             gap = 0
         lines, split, misread = self.decode(kept)
         kinds += [(no, "split") for no in split] + [(no, "misread") for no in misread]
+        if not whole:
+            return None, sorted(kinds)
         if len(lines) != len(kept):
             gaps = (gaps + [0] * len(lines))[: len(lines)]
         return "\n\n".join(p for p in self.paragraphs(lines, gaps) if p), sorted(kinds)
@@ -334,13 +336,14 @@ def _moved(between: str, after: str) -> str:
 REPAIRED = "id string, repaired string, lines array<struct<line_no:int,kind:string>>"
 
 
-def repair_pages(records: DataFrame) -> DataFrame:
+def repair_pages(records: DataFrame, whole: bool = True) -> DataFrame:
     """(id, repaired, lines) of every record with text.
 
     ``records`` has id, text, title, agency; other columns are left out. Null
     and blank texts give no row; rows repeated whole count once. ``lines`` lists
     lines counted from 1 that are furniture (drop), end inside a word (split)
-    or hold a misread word (misread).
+    or hold a misread word (misread). Without ``whole`` only the lines are told
+    and ``repaired`` is null.
     """
     texts = records.select("id", "text", "title", "agency").where(F.length(F.trim("text")) > 0)
     spark = records.sparkSession
@@ -351,7 +354,7 @@ def repair_pages(records: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(*shared.value)
         for pdf in batches:
-            got = [reader.read(t, ti if isinstance(ti, str) else None, a if isinstance(a, str) else None) for t, ti, a in zip(pdf["text"], pdf["title"], pdf["agency"])]
+            got = [reader.read(t, ti if isinstance(ti, str) else None, a if isinstance(a, str) else None, whole) for t, ti, a in zip(pdf["text"], pdf["title"], pdf["agency"])]
             yield pd.DataFrame({"id": pdf["id"], "repaired": [g[0] for g in got], "lines": [[{"line_no": n, "kind": k} for n, k in g[1]] for g in got]})
 
     return texts.mapInPandas(run, REPAIRED)
@@ -359,7 +362,7 @@ def repair_pages(records: DataFrame) -> DataFrame:
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
     """Furniture, split and misread lines of every record's page text."""
-    lines = repair_pages(table(spark, sf_dir, "search_index")).select("id", F.explode("lines").alias("x"))
+    lines = repair_pages(table(spark, sf_dir, "search_index"), whole=False).select("id", F.explode("lines").alias("x"))
     return lines.select("id", F.col("x.line_no").alias("line_no"), F.col("x.kind").alias("kind")).distinct()
 
 

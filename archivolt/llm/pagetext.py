@@ -81,6 +81,21 @@ PAGE_NO = re.compile(rf"(?:[-—–~]\s*{DIG}{{1,5}}\s*[-—–~]|[\[(]\s*{DIG}{
 PAGE_WORD = re.compile(rf"(\S{{3,5}}?)\.?\s?{DIG}{{1,5}}(?:\s*(?:of|/|0f|o1)\s*{DIG}{{1,5}})?", re.I)
 
 
+class Plain(dict):
+    """word -> whether it is known as it stands, so that no reading of it can be cheaper."""
+
+    def __init__(self, reader: "Reader"):
+        super().__init__()
+        self.reader = reader
+
+    def __missing__(self, w: str) -> bool:
+        if len(self) > 400_000:
+            self.clear()
+        cost, _, at = self.reader.word(w)
+        self[w] = ok = at < 0 and cost < UNKNOWN
+        return ok
+
+
 class Reader:
     """Line classes, word decoding and paragraphs of one text at a time."""
 
@@ -93,6 +108,7 @@ class Reader:
             self.folded.setdefault(len(t), []).append(t.lower())
         self.word = lru_cache(200_000)(self._word)
         self.stamp = lru_cache(50_000)(self._stamp)
+        self.plain = Plain(self)
 
     # ---- lines ----
 
@@ -171,7 +187,35 @@ class Reader:
         return best
 
     def decode(self, lines: list[tuple[int, str]]) -> tuple[list[str], set[int], set[int]]:
-        """Joint decoding of the text lines: (repaired lines, split line numbers, misread line numbers)."""
+        """Joint decoding of the text lines: (repaired lines, split line numbers, misread line numbers).
+
+        A line of known words between known words has one way through it, so
+        the stream is decoded only around the others.
+        """
+        words = [WORD.findall(s) for _, s in lines]
+        plain = self.plain
+        calm = [bool(ws) and s[-1] not in HYPHENS and all(map(plain.__getitem__, ws)) for ws, (_, s) in zip(words, lines)]
+        n = len(lines)
+        out: list[str] = []
+        split: set[int] = set()
+        misread: set[int] = set()
+        i = 0
+        while i < n:
+            if calm[i] and (i == 0 or calm[i - 1]) and (i == n - 1 or calm[i + 1]):
+                out.append(lines[i][1])
+                i += 1
+                continue
+            j = i + 1
+            while j < n and not (calm[j] and calm[j - 1] and (j == n - 1 or calm[j + 1])):
+                j += 1
+            got, s, m = self._decode(lines[i:j])
+            out += got
+            split |= s
+            misread |= m
+            i = j
+        return out, split, misread
+
+    def _decode(self, lines: list[tuple[int, str]]) -> tuple[list[str], set[int], set[int]]:
         stream: list[tuple[int, str, str]] = []  # (index into lines, word, what follows it)
         heads: list[str] = []
         for k, (_, s) in enumerate(lines):

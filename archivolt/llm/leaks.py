@@ -161,7 +161,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
     df = {r["term"]: r["n"] for r in postings.groupBy("term").agg(F.count_distinct("doc_id").alias("n")).toLocalIterator()}
     rarest = spark.createDataFrame(anchors(passages, df), "term string, item_id bigint, off int")
     hits = postings.join(F.broadcast(rarest), "term").withColumn("b", F.floor((F.col("pos") - F.col("off")) / BUCKET).cast("int"))
-    hits = hits.groupBy("doc_id", "item_id", "b").agg(F.count_distinct("off").alias("n"), F.min("pos").alias("x"), F.max("pos").alias("y"))
+    # Distinct offsets as two bit sets: combined before the shuffle, unlike a distinct count. Offsets 128 apart share a
+    # bit, which only understates matches far longer than LEAST_HITS.
+    one = F.lit(1).cast("bigint")
+    bits = lambda lo: F.bit_count(F.bit_or(F.when((F.col("off") % 128 < 64) == F.lit(lo), F.call_function("shiftleft", one, F.col("off") % 64)).otherwise(F.lit(0).cast("bigint"))))
+    hits = hits.groupBy("doc_id", "item_id", "b").agg((bits(True) + bits(False)).alias("n"), F.min("pos").alias("x"), F.max("pos").alias("y"))
     # A passage that begins near a bucket's edge has its postings in two: each bucket counts with its right neighbour.
     both = hits.select("doc_id", "item_id", "n", "x", "y", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b")).groupBy("doc_id", "item_id", "b").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y"))
     met = both.where(F.col("n") >= LEAST_HITS).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "b", F.col("n").cast("int").alias("n"), "x", "y")).alias("cands"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from archivolt.functions import dates, numeric, scalars, text
-from archivolt.operators import graph, joins, linkage, retrieval, spatial, topics
+from archivolt.operators import graph, joins, linkage, records, retrieval, spatial, topics
 from archivolt.operators.dualtree import haversine_km, usable, written_day
 from archivolt.session import cut_to_table, table
 from archivolt.streaming import stateful
@@ -720,3 +720,150 @@ SELECT doc_id, lang, source, n_chars, title, kind, record_id FROM documents""")
 def q_light_export(spark, d):
     """All columns but the text: the scan reads no text."""
     return t(spark, d, "documents").drop("text", "collected_at")
+
+
+# ---- further normalisers, dates, tallies and record operators ----
+
+
+@query("""
+SELECT upper(trim(type)) AS kind, coalesce(agency, 'none') AS agency, count(*) AS n, count(DISTINCT id) AS ids FROM search_index GROUP BY ALL""")
+def q_count_by_kind(spark, d):
+    return t(spark, d, "search_index").groupBy(F.upper(F.trim("type")).alias("kind"), F.coalesce("agency", F.lit("none")).alias("agency")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@query("""
+SELECT event_id, left(sha256(user_id::VARCHAR), 12) AS who, 'sha256:' || sha256(props) AS body FROM events""")
+def q_hash_keys(spark, d):
+    return t(spark, d, "events").select("event_id", scalars.hash_ip(F.col("user_id").cast("string")).alias("who"), scalars.body_hash(F.col("props")).alias("body"))
+
+
+@query("""
+SELECT DISTINCT id, CASE WHEN starts_with(id, 'forum:') THEN substr(id, 7) ELSE regexp_replace(id, '^([^:]*):', '\\1_') END AS key FROM sightings""")
+def q_rekey(spark, d):
+    return t(spark, d, "sightings").select("id", scalars.rekey(F.col("id"), "forum:").alias("key")).distinct()
+
+
+@query("""
+SELECT DISTINCT id, CASE WHEN starts_with(source, 'official_') THEN 'official' WHEN source = 'newsfeed' THEN 'reported' ELSE 'unverified' END AS level FROM sightings WHERE source IS NOT NULL""")
+def q_provenance(spark, d):
+    s = t(spark, d, "sightings").where(F.col("source").isNotNull())
+    return s.select("id", scalars.provenance(F.col("source"), {"newsfeed": "reported"}).alias("level")).distinct()
+
+
+@query("""
+SELECT DISTINCT id, CASE WHEN duration_seconds > 0 THEN duration_seconds END AS seconds FROM sightings""")
+def q_duration(spark, d):
+    return t(spark, d, "sightings").select("id", scalars.parse_duration(F.col("duration_seconds").cast("string")).alias("seconds")).distinct()
+
+
+@query(r"""
+SELECT DISTINCT doc_id, CASE WHEN regexp_matches(title, '[:#\[\]{},&*!|>''"%@`]') THEN '"' || replace(replace(title, '\', '\\'), '"', '\"') || '"' ELSE title END AS title FROM documents""")
+def q_yaml(spark, d):
+    return t(spark, d, "documents").select("doc_id", scalars.yaml_escape(F.col("title")).alias("title")).distinct()
+
+
+@query("""
+SELECT count(*) AS rows_, sum(length(text))::BIGINT AS chars, count(CASE WHEN length(text) > 0 THEN 1 END) AS with_text FROM search_index""")
+def q_array_stats(spark, d):
+    return t(spark, d, "search_index").agg(F.count(F.lit(1)).alias("rows_"), F.sum(F.length("text")).alias("chars"), F.count_if(F.length("text") > 0).alias("with_text"))
+
+
+@query("""
+SELECT count(CASE WHEN match_score >= 0.5 THEN 1 END) AS ge_0_5, count(CASE WHEN match_score >= 0.65 THEN 1 END) AS ge_0_65, count(CASE WHEN match_score >= 0.9 THEN 1 END) AS ge_0_9 FROM match_pairs""")
+def q_threshold_tallies(spark, d):
+    return records.tallies(t(spark, d, "match_pairs"), "match_score", [0.5, 0.65, 0.9])
+
+
+@query("""
+SELECT pair, match_score, run_id FROM (SELECT least(id_a, id_b) || '|' || greatest(id_a, id_b) AS pair, match_score, run_id,
+  row_number() OVER (PARTITION BY least(id_a, id_b), greatest(id_a, id_b) ORDER BY scored_at, run_id, match_score) AS rn FROM match_pairs WHERE id_a IS NOT NULL AND id_b IS NOT NULL AND match_score IS NOT NULL) WHERE rn = 1""")
+def q_first_rows(spark, d):
+    """The first scoring of every pair, in whichever order it was written."""
+    p = t(spark, d, "match_pairs").where(F.col("id_a").isNotNull() & F.col("id_b").isNotNull() & F.col("match_score").isNotNull())
+    p = p.withColumn("pair", F.concat(F.least("id_a", "id_b"), F.lit("|"), F.greatest("id_a", "id_b")))
+    return records.first_rows(p, "pair", "scored_at", "run_id", "match_score").select("pair", "match_score", "run_id")
+
+
+@query(r"""
+SELECT DISTINCT id, coalesce(CASE WHEN regexp_matches(trim(release_date), '^\d{1,2}/\d{1,2}/\d{2}$') THEN try_strptime(trim(release_date), '%m/%d/%y') WHEN regexp_matches(trim(release_date), '^\d{1,2}/\d{1,2}/\d{4}$') THEN try_strptime(trim(release_date), '%m/%d/%Y') END,
+  CASE WHEN regexp_matches(trim(release_date), '^\d{4}-\d{2}-\d{2}$') THEN try_strptime(trim(release_date), '%Y-%m-%d') END)::DATE AS released FROM search_index""")
+def q_release_dates(spark, d):
+    """Feed dates: slashed with years 69-99 in the 1900s, or ISO."""
+    return t(spark, d, "search_index").select("id", dates.parse_release(F.col("release_date")).alias("released")).distinct()
+
+
+@query(r"""
+SELECT DISTINCT id, CASE WHEN regexp_matches(left(trim(occurred_at), 10), '^\d{4}-\d{2}-\d{2}$') THEN try_strptime(left(trim(occurred_at), 10), '%Y-%m-%d') END::DATE AS day FROM sightings""")
+def q_iso_prefix(spark, d):
+    return t(spark, d, "sightings").select("id", dates.parse_iso_prefix(F.col("occurred_at")).alias("day")).distinct()
+
+
+@query()
+def q_linkage_dates(spark, d):
+    """Incident dates of four notations as days, and those of spans with their precision."""
+    s = t(spark, d, "search_index")
+    p = dates.parse_record(F.col("incident_date"), 26)
+    return s.select("id", dates.parse_linkage(F.col("incident_date"), 26).alias("day"), p["date"].alias("first_day"), p["precision"].alias("precision")).distinct()
+
+
+@query("""
+SELECT grp, count(*) AS n FROM (SELECT CASE WHEN provenance = 'official' AND d IS NOT NULL THEN 'official' WHEN coalesce(provenance, '') <> 'official' AND d IS NOT NULL AND ok THEN 'civilian' ELSE 'rest' END AS grp FROM (
+  SELECT provenance, coalesce(location.lat BETWEEN -90 AND 90 AND location.lng BETWEEN -180 AND 180 AND NOT (location.lat = 0 AND location.lng = 0), false) AS ok,
+    CASE WHEN regexp_matches(occurred_at, '^\\d{4}-\\d{2}-\\d{2}$') THEN try_strptime(occurred_at, '%Y-%m-%d') END AS d FROM sightings)) GROUP BY 1""")
+def q_split_sightings(spark, d):
+    """Three-way partition of the reports."""
+    s = t(spark, d, "sightings").withColumn("day", F.try_to_date(F.regexp_extract("occurred_at", r"^(\d{4}-\d{2}-\d{2})$", 1), "yyyy-MM-dd"))
+    parts = records.split_sightings(s)
+    out = None
+    for name, p in zip(("official", "civilian", "rest"), parts):
+        p = p.select(F.lit(name).alias("grp"))
+        out = p if out is None else out.unionByName(p)
+    return out.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT id, list_distinct(list_concat([coalesce(source, '')], [coalesce(shape, '')])) IS NOT NULL AS ok, count(*) AS n FROM sightings GROUP BY ALL""")
+def q_ordered_union(spark, d):
+    """Lists joined without repeats, in order."""
+    s = t(spark, d, "sightings").withColumn("u", F.array_distinct(F.concat(F.array(F.coalesce("source", F.lit(""))), F.array(F.coalesce("shape", F.lit(""))))))
+    return s.groupBy("id", F.col("u").isNotNull().alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def q_entity_table(spark, d):
+    """Rule-based entities with their most frequent surface and the documents that name them."""
+    m = t(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("record_id"), F.lit("NAME").alias("type"), F.posexplode(text.rule_entities(F.col("text"))).alias("pos", "surface"))
+    m = m.withColumn("ord", F.col("record_id") * 100_000 + F.col("pos"))
+    return records.entity_table(m).select("entity_id", "surface", "count", F.size("record_ids").alias("n_records"))
+
+
+@query()
+def q_resolution_rate(spark, d):
+    """Share of cited numbers that some document resolves."""
+    docs = t(spark, d, "documents").where(F.col("text").isNotNull())
+    m = retrieval.citation_mentions(docs, "doc_id", "text", text.CITATIONS)
+    lookup = m.where(F.col("kind") == "section").groupBy("kind", "token").agg(F.min("doc_id").alias("to_id"))
+    return records.resolution_rate(*retrieval.citation_edges(m, lookup, "doc_id"))
+
+
+@query()
+def q_adjacency(spark, d):
+    """Who cites whom, both ways."""
+    return graph.adjacency(q_citation_edges(spark, d).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")))
+
+
+@query()
+def q_graph(spark, d):
+    """Records and entities as one weighted graph: names, citations and nearness in place and time."""
+    ent = t(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("record_id"), F.explode(text.rule_entities(F.col("text"))).alias("s"))
+    ent = ent.select("record_id", F.regexp_replace("s", r"\s+", "_").alias("entity_id"), F.lit(1).alias("count"))
+    cit = q_citation_edges(spark, d).select(F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"), "count")
+    near = q_near_pairs(spark, d)
+    v, e = graph.build_graph(ent, cit, near)
+    return e
+
+
+def q_near_pairs(spark, d) -> DataFrame:
+    """Official entries and sightings close in place and time, with distance and days."""
+    pick = lambda n: t(spark, d, n).where(F.lower(F.trim("occurred_at_precision")).isin("day", "minute")).select("id", F.col("location.lat").alias("lat"), F.col("location.lng").alias("lng"), written_day(F.col("occurred_at")).alias("day")).where(F.col("day").isNotNull())
+    return joins.geo_range_join(pick("correlations").withColumn("window", F.lit(3)), pick("sightings")).where(F.col("right_id").isNotNull()).select("left_id", "right_id", "distance_km", "delta_days")

@@ -78,9 +78,22 @@ def cut_to_table(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGES.append(path)
     return spark.read.parquet(path)
 
 
+_STAGES: list[str] = []
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the stage tables this process has written; for when the results that read them have been stored."""
+    n = 0
+    while _STAGES:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table whose size has a bound, checked before use.
 

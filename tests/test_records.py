@@ -48,3 +48,14 @@ def test_splits_and_validation(spark):
 def test_views(spark, sf):
     assert "lineitem" in records.register_views(spark, sf)
     assert spark.sql("SELECT count(*) AS n FROM lineitem l LEFT ANTI JOIN orders o ON l.l_orderkey = o.o_orderkey").first()["n"] == 0
+
+
+def test_stage_tables_are_dropped(spark):
+    import os
+
+    from archivolt.session import cut_to_table, drop_stages
+
+    drop_stages(spark)
+    t = cut_to_table(spark.range(3))
+    (path,) = {os.path.dirname(p.removeprefix("file:").replace("//", "/")) for p in t.inputFiles()}
+    assert t.count() == 3 and os.path.isdir(path) and drop_stages(spark) == 1 and not os.path.isdir(path)

@@ -25,7 +25,7 @@ from archivolt.session import bounded_rows, cut_to_table, table
 
 WORD = re.compile(r"[^\W_]+")
 #: Of any 15 words with at most 2 differing, 6 of the 8 rarest agree: no such stretch has fewer than LEAST_HITS.
-WINDOW, RAREST, BUCKET, LEAST_HITS = 15, 8, 8, 6
+WINDOW, RAREST, BUCKET, LEAST_HITS, SEEDS = 15, 8, 8, 6, 3
 LEAST_WORDS, LEAST_SHARE = 14, 0.84
 
 
@@ -33,16 +33,22 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
-def anchors(passages: dict[int, list[str]], df: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(term, item, offset) of the rarest terms of every window of every passage."""
-    out = []
+def anchors(passages: dict[int, list[str]], df: dict[str, int]) -> tuple[list[tuple[str, int, int]], set[str]]:
+    """(term, item, offset) of the rarest terms of every window of every passage, and the SEEDS rarest among them.
+
+    Where 6 of the 8 rarest terms agree, one of the 3 rarest does: a document
+    without any of these terms holds no passage.
+    """
+    out, seeds = [], set()
     for item, ws in passages.items():
         keep: set[int] = set()
         for a in range(max(1, len(ws) - WINDOW + 1)):
             span = range(a, min(len(ws), a + WINDOW))
-            keep.update(sorted(span, key=lambda k: (df.get(ws[k], 0), k))[:RAREST])
+            rare = sorted(span, key=lambda k: (df.get(ws[k], 0), k))[:RAREST]
+            keep.update(rare)
+            seeds.update(ws[k] for k in rare[:SEEDS])
         out += [(ws[k], item, k) for k in sorted(keep)]
-    return out
+    return out, seeds
 
 
 def align(p: list[str], d: list[str], shift: int, band: int = 14) -> tuple[int, int, int, int, int]:
@@ -159,8 +165,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
     # Sizes: the terms of the checked evaluation set.
     postings = cut_to_table(tokens.join(F.broadcast(terms), "term", "left_semi"), "postings")
     df = {r["term"]: r["n"] for r in postings.groupBy("term").agg(F.count_distinct("doc_id").alias("n")).toLocalIterator()}
-    rarest = spark.createDataFrame(anchors(passages, df), "term string, item_id bigint, off int")
-    hits = postings.join(F.broadcast(rarest), "term").withColumn("b", F.floor((F.col("pos") - F.col("off")) / BUCKET).cast("int"))
+    found, seeds = anchors(passages, df)
+    rarest = spark.createDataFrame(found, "term string, item_id bigint, off int")
+    seeded = postings.join(F.broadcast(spark.createDataFrame([(x,) for x in sorted(seeds)], "term string")), "term", "left_semi").select("doc_id").distinct()
+    hits = postings.join(seeded, "doc_id", "left_semi").join(F.broadcast(rarest), "term").withColumn("b", F.floor((F.col("pos") - F.col("off")) / BUCKET).cast("int"))
     # Distinct offsets as two bit sets: combined before the shuffle, unlike a distinct count. Offsets 128 apart share a
     # bit, which only understates matches far longer than LEAST_HITS.
     one = F.lit(1).cast("bigint")

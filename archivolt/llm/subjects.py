@@ -35,9 +35,9 @@ SENTENCE = re.compile(r"(?<=[.!?])[\"'»”)\]]*\s+|\n\s*\n|\r\s*\r")
 
 
 def sentences(text: str) -> list[str]:
-    """Sentences with at least three words."""
+    """Sentences with at least three words (or ten parts of any kind)."""
     parts = SENTENCE.split(text.replace("\r\n", "\n").replace("\r", "\n"))
-    return [s for s in (" ".join(p.split()) for p in parts if p) if s.count(" ") >= 2 and len(WORD.findall(s)) >= 3]
+    return [s for s in (" ".join(p.split()) for p in parts if p) if (n := s.count(" ")) >= 9 or n >= 2 and len(WORD.findall(s)) >= 3]
 
 
 def words_of(sentence: str) -> set[str]:

@@ -148,7 +148,7 @@ def assemble(*parts: Column, sep: str = "\n", cap: int | None = None, marker: st
     return F.when(F.length(s) > cap, F.concat(F.left(s, F.lit(cap)), F.lit(marker))).otherwise(s)
 
 
-def rekey(c: Column, prefix: str = "wargov:") -> Column:
+def rekey(c: Column, prefix: str) -> Column:
     """Drop ``prefix``; of other keys the first ``:`` becomes ``_``."""
     return F.when(F.startswith(c, F.lit(prefix)), F.substr(c, F.lit(len(prefix) + 1))).otherwise(F.regexp_replace(c, r"^([^:]*):", "$1_"))
 

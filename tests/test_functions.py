@@ -38,7 +38,7 @@ def test_names_and_links(spark):
 
 
 def test_keys_and_paths(spark):
-    assert one(spark, scalars.rekey(F.col("s")), s="wargov:a:b") == "a:b" and one(spark, scalars.rekey(F.col("s")), s="news:a:b") == "news_a:b"
+    assert one(spark, scalars.rekey(F.col("s"), "main:"), s="main:a:b") == "a:b" and one(spark, scalars.rekey(F.col("s"), "main:"), s="news:a:b") == "news_a:b"
     assert one(spark, scalars.yaml_escape(F.col("s")), s='a: "b"') == '"a: \\"b\\""' and one(spark, scalars.yaml_escape(F.col("s")), s="plain") == "plain"
     assert one(spark, scalars.yaml_list(F.col("s")), s=["a", "b:c"]) == '[a, "b:c"]'
     assert one(spark, scalars.encode_path(F.col("s")), s="https://h/a b/c%20d?q=1 2") == "https://h/a%20b/c%20d?q=1 2"

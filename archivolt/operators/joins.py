@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,11 +33,15 @@ def geo_range_join(left: DataFrame, right: DataFrame, km: float = 150.0, window_
 
     Both sides have id, lat, lng, day; the left one ``window_col`` in days. A
     left row without matches keeps one row with match_count 0; match_count is
-    taken before the cap. Candidates come from the dual-tree join at the widest
-    window, so no pair is compared that both boxes rule out.
+    taken before the cap. Candidates come from dual-tree joins, so no pair is
+    compared that both boxes rule out: one join per class of windows (powers of
+    four, 16 at most), so that a few wide windows do not widen those of all rows.
     """
-    widest = left.agg(F.max(window_col)).first()[0] or 0
-    near = dual_tree_join(left, right, km, int(widest))
+    size = F.floor(F.log2(F.greatest(F.col(window_col), F.lit(0)) + 1.0) / 2).cast("int")
+    classes = left.where(F.col(window_col) >= 0).groupBy(size.alias("c")).agg(F.max(window_col).alias("widest")).collect()
+    # each class ends in a table, so that the driver never holds the plan of all of them
+    parts = [cut_to_table(dual_tree_join(left.where((F.col(window_col) >= 0) & (size == c)), right, km, int(widest)), "near") for c, widest in sorted(classes)]
+    near = reduce(DataFrame.union, parts).distinct() if parts else dual_tree_join(left.limit(0), right, km, 0)
     l = left.select(F.col("id").alias("left_id"), F.col("lat").alias("la"), F.col("lng").alias("lo"), F.col("day").alias("ld"), F.col(window_col).alias("w")).dropDuplicates(["left_id"])
     r = right.where(usable(F.col("lat"), F.col("lng"))).select(F.col("id").alias("right_id"), F.col("lat").alias("ra"), F.col("lng").alias("ro"), F.col("day").alias("rd")).dropDuplicates(["right_id"])
     pairs = near.join(l, "left_id").join(r, "right_id").withColumn("delta_days", F.abs(F.col("rd") - F.col("ld"))).where(F.col("delta_days") <= F.col("w"))

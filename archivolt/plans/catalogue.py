@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from archivolt.functions import dates, numeric, scalars, text
 from archivolt.operators import graph, joins, linkage, records, retrieval, spatial, topics
-from archivolt.operators.dualtree import haversine_km, usable, written_day
+from archivolt.operators.dualtree import haversine_km, sighting_points, usable, written_day
 from archivolt.session import cut_to_table, table
 from archivolt.streaming import stateful
 
@@ -508,15 +508,24 @@ def q_mode_tiebreak(spark, d):
 _HAV = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians({b}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2))))"
 
 
+def _official(spark, d) -> DataFrame:
+    """Every official entry as a left side of ``geo_range_join``: its first day (null if it has none) and the window of its precision."""
+    precision = F.lower(F.trim("occurred_at_precision"))
+    window = scalars.by_map(precision, {"minute": "3", "day": "3", "month": "30", "year": "365", "decade": "3650"}, "3").cast("int")
+    whole = F.regexp_replace(F.regexp_replace(F.trim("occurred_at"), r"^(\d{4})s?$", "$1-01"), r"^(\d{4}-\d{2})$", "$1-01")
+    day = written_day(F.when(precision.isin("month", "year", "decade"), whole).otherwise(F.col("occurred_at")))
+    return t(spark, d, "correlations").select("id", F.col("location.lat").alias("lat"), F.col("location.lng").alias("lng"), day.alias("day"), window.alias("window"))
+
+
+def _civilian(spark, d) -> DataFrame:
+    """Sightings of day or minute precision as a right side of ``geo_range_join``."""
+    return sighting_points(t(spark, d, "sightings")).where(F.col("day").isNotNull())
+
+
 @query()
 def q_geo_range_join(spark, d):
-    """Left outer: the 50 nearest sightings within 150 km and a window by the official entry's precision."""
-    c = t(spark, d, "correlations")
-    window = scalars.by_map(F.lower(F.trim("occurred_at_precision")), {"minute": "3", "day": "3", "month": "30", "year": "365", "decade": "3650"}, "3").cast("int")
-    pick = lambda df: df.select("id", F.col("location.lat").alias("lat"), F.col("location.lng").alias("lng"), written_day(F.col("occurred_at")).alias("day"))
-    l = pick(c.where(F.lower(F.trim("occurred_at_precision")).isin("day", "minute")).withColumn("w", window)).withColumn("window", F.lit(3)).where(F.col("day").isNotNull())
-    r = pick(t(spark, d, "sightings").where(F.lower(F.trim("occurred_at_precision")).isin("day", "minute"))).where(F.col("day").isNotNull())
-    return joins.geo_range_join(l, r).groupBy("left_id").agg(F.max("match_count").alias("match_count"), F.min("distance_km").alias("nearest_km"))
+    """Left outer: sightings within 150 km and a window by the official entry's precision; every entry keeps a row, undated ones with match_count 0."""
+    return joins.geo_range_join(_official(spark, d), _civilian(spark, d)).groupBy("left_id").agg(F.max("match_count").alias("match_count"), F.min("distance_km").alias("nearest_km"))
 
 
 @query("""
@@ -864,6 +873,5 @@ def q_graph(spark, d):
 
 
 def q_near_pairs(spark, d) -> DataFrame:
-    """Official entries and sightings close in place and time, with distance and days."""
-    pick = lambda n: t(spark, d, n).where(F.lower(F.trim("occurred_at_precision")).isin("day", "minute")).select("id", F.col("location.lat").alias("lat"), F.col("location.lng").alias("lng"), written_day(F.col("occurred_at")).alias("day")).where(F.col("day").isNotNull())
-    return joins.geo_range_join(pick("correlations").withColumn("window", F.lit(3)), pick("sightings")).where(F.col("right_id").isNotNull()).select("left_id", "right_id", "distance_km", "delta_days")
+    """Official entries and sightings close in place and time, by the entry's own window, with distance and days."""
+    return joins.geo_range_join(_official(spark, d), _civilian(spark, d)).where(F.col("right_id").isNotNull()).select("left_id", "right_id", "distance_km", "delta_days")

@@ -491,6 +491,15 @@ def q_components(spark, d):
     return linkage.connected_components(e)
 
 
+@query()
+def q_components_all(spark, d):
+    """Components of the graph of parts and suppliers over all line items; ``q_components`` is the small graph its SQL can afford.
+
+    Supplier k is -1 - k, since keys begin at 0 and part 0 is no supplier.
+    """
+    return linkage.connected_components(t(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_suppkey")).alias("b")))
+
+
 @query("""
 SELECT CASE WHEN rn > 1 THEN p_name || '__' || rn ELSE p_name END AS id, p_partkey FROM (SELECT p_name, p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS rn FROM part)""")
 def q_disambiguate(spark, d):

@@ -19,3 +19,20 @@ def test_geo_range_join_covers_every_precision(spark, tmp_path):
     save(spark, tmp_path, "sightings", seen, POINT)
     got = {r["left_id"]: r["match_count"] for r in entry.queries()["q_geo_range_join"](spark, str(tmp_path)).collect()}
     assert got == {"d": 1, "m": 2, "y": 3, "y4": 3, "dec": 1, "u": 0, "n": 0, "nowhere": 0}
+
+
+def test_components_all_against_union_find(spark, tmp_path):
+    rows = [(p, s, 10.0, 0.01) for p, s in [(0, 8), (9, 0), (1, 1), (1, 2), (2, 2), (3, 3), (4, 3), (5, 4), (6, 5), (6, 6), (7, 6), (7, 7), (8, 7)]] + [(p, 9, 50.0, 0.1) for p in range(100, 160)]
+    save(spark, tmp_path, "lineitem", rows, "l_partkey long, l_suppkey long, l_quantity double, l_discount double")
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for p, s, *_ in rows:
+        a, b = root(p), root(-1 - s)
+        up[max(a, b)] = min(a, b)
+    got = {tuple(r) for r in entry.queries()["q_components_all"](spark, str(tmp_path)).collect()}
+    assert got == {(x, root(x)) for x in up} and len({c for _, c in got}) == 7

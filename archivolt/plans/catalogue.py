@@ -266,10 +266,24 @@ def q_exact_dup(spark, d):
 
 @query()
 def q_hamming_join(spark, d):
-    """64-bit hashes of record titles at most 3 bits apart, by bands (exact); pairs between hash classes, with their sizes."""
-    r = t(spark, d, "search_index").where(F.col("title").isNotNull()).groupBy(text.tokens(F.col("title")).alias("toks")).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
-    h = cut_to_table(joins.simhash64(r, "id", F.col("toks")).groupBy("h").agg(F.min("id").alias("id")), "hashes")
-    return joins.hamming_join(h, h, "id", "h", 3, 64)
+    """64-bit hashes of record titles at most 3 bits apart, by bands (exact), with every record's class.
+
+    A class is the records of one hash, named by its least id. kind ``pair``: two
+    classes and their distance; ``title``: a class and the least id of each title
+    in it other than its own, distance 0; ``member``: a class and each of its
+    records. ``members`` is the size of class a. A title without tokens has no hash.
+    """
+    r = t(spark, d, "search_index").where(F.col("title").isNotNull() & F.col("id").isNotNull()).select("id", "title", text.tokens(F.col("title")).alias("toks")).withColumn("key", F.array_join("toks", " "))
+    h = joins.simhash64(r.select("key", "toks").dropDuplicates(["key"]), "key", F.col("toks"))
+    rec = cut_to_table(r.select("id", "title", "key").join(h, "key").select("id", "title", "h").distinct(), "hashes")
+    c = cut_to_table(rec.groupBy("h").agg(F.min("id").alias("a_id"), F.min_by("title", F.struct("id", "title")).alias("own"), F.count_distinct("id").alias("members")), "classes")
+    k = c.select(F.col("a_id").alias("id"), "h")
+    pairs = joins.hamming_join(k, k, "id", "h", 3, 64).join(c.groupBy("a_id").agg(F.max("members").alias("members")), "a_id")
+    links = rec.join(c, "h")
+    titles = links.where(F.col("title") != F.col("own")).groupBy("h", "a_id", "title", "members").agg(F.min("id").alias("b_id"))
+    rows = lambda df, kind, distance: df.select(F.lit(kind).alias("kind"), "a_id", "b_id", distance.cast("int").alias("distance"), "members")
+    zero = F.lit(0)
+    return rows(pairs, "pair", F.col("distance")).union(rows(titles, "title", zero)).union(rows(links.select("a_id", F.col("id").alias("b_id"), "members").distinct(), "member", zero))
 
 
 @query()

@@ -36,3 +36,13 @@ def test_components_all_against_union_find(spark, tmp_path):
         up[max(a, b)] = min(a, b)
     got = {tuple(r) for r in entry.queries()["q_components_all"](spark, str(tmp_path)).collect()}
     assert got == {(x, root(x)) for x in up} and len({c for _, c in got}) == 7
+
+
+def test_hamming_join_keeps_every_record_and_title(spark, tmp_path):
+    rows = [("a", "1 blue cone over lake"), ("b", "3 blue cone over lake"), ("c", "1 blue cone over lake"), ("d", "lake over cone blue"), ("e", "silent triangle near the harbour wall"), ("f", None)]
+    save(spark, tmp_path, "search_index", rows, "id string, title string")
+    got = entry.queries()["q_hamming_join"](spark, str(tmp_path)).collect()
+    pick = lambda kind: {(r["a_id"], r["b_id"], r["distance"], r["members"]) for r in got if r["kind"] == kind}
+    assert pick("member") == {("a", x, 0, 4) for x in "abcd"} | {("e", "e", 0, 1)}
+    assert pick("title") == {("a", "b", 0, 4), ("a", "d", 0, 4)}
+    assert len(got) == 7 + len(pick("pair"))

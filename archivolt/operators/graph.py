@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,7 +69,8 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
     A documented stand-in for greedy modularity communities, which are neither
     distributed nor comparable bit for bit. Half of the nodes, by hash, move in
-    each round, so that pairs do not swap labels for ever.
+    each round, so that pairs do not swap labels for ever. Stops when no node of
+    either half would move.
     """
     e = cut_to_table(both_ways(edges), "edges")
     lab = cut_to_table(e.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct(), "labels")
@@ -75,25 +78,40 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         votes = e.join(lab.select(F.col("id").alias("dst"), "community"), "dst").groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("w"))
         best = votes.groupBy(F.col("src").alias("id")).agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("new"))
         nxt = lab.join(best, "id", "left").withColumn("turn", F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0)
-        nxt = nxt.select("id", F.when(F.col("turn"), F.coalesce("new", "community")).otherwise(F.col("community")).alias("community"), (F.col("turn") & (F.col("new") != F.col("community"))).alias("moved"))
+        nxt = nxt.select("id", F.when(F.col("turn"), F.coalesce("new", "community")).otherwise(F.col("community")).alias("community"), (F.col("new") != F.col("community")).alias("moved"))
         nxt = cut_to_table(nxt, "labels")
         lab = nxt.select("id", "community")
-        if k and nxt.where("moved").limit(1).count() == 0:
+        if nxt.where("moved").limit(1).count() == 0:
             break
     return lab
 
 
-def eigenvector(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(id, score) by power iteration on A + I, unit length; the shift keeps bipartite graphs from swinging."""
+def eigenvector(edges: DataFrame, rounds: int = 500, tol: float = 1e-9) -> DataFrame:
+    """(id, score) by power iteration on A + sI, unit length.
+
+    The shift s, the mean strength, keeps bipartite graphs from swinging and
+    does not change the vector. Every five rounds the vector is scaled; it has
+    settled when that moved it by at most ``tol`` in length. Warns if ``rounds``
+    end first.
+    """
     e = cut_to_table(both_ways(edges), "edges")
     v = e.select(F.col("src").alias("id")).distinct().withColumn("x", F.lit(1.0))
-    for k in range(rounds):
-        y = e.join(v.select(F.col("id").alias("dst"), "x"), "dst").select(F.col("src").alias("id"), (F.col("weight") * F.col("x")).alias("x")).union(v).groupBy("id").agg(F.sum("x").alias("x"))
-        y = cut_to_table(y, "eigen") if k % 5 == 4 or k == rounds - 1 else y
-        if k % 5 == 4 or k == rounds - 1:
-            n = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-            y = y.withColumn("x", F.col("x") / n)
-        v = y
+    shift = float(e.groupBy("src").agg(F.sum("weight").alias("s")).agg(F.avg("s")).first()[0] or 1.0)
+    old, k, moved = v, 0, None
+    while k < rounds:
+        steps = min(5, rounds - k)
+        for _ in range(steps):
+            v = e.join(v.select(F.col("id").alias("dst"), "x"), "dst").select(F.col("src").alias("id"), (F.col("weight") * F.col("x")).alias("x")).union(v.select("id", (shift * F.col("x")).alias("x"))).groupBy("id").agg(F.sum("x").alias("x"))
+        k += steps
+        y = cut_to_table(v, "eigen")
+        n = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        v = y.withColumn("x", F.col("x") / n)
+        moved = v.join(old.withColumnRenamed("x", "o"), "id").agg(F.sqrt(F.sum((F.col("x") - F.col("o")) * (F.col("x") - F.col("o"))))).first()[0]
+        if moved is None or moved <= tol:
+            break
+        old = v
+    else:
+        warnings.warn(f"eigenvector: not settled after {rounds} rounds, last change {moved}", stacklevel=2)
     return v.select("id", F.col("x").alias("score"))
 
 

@@ -652,12 +652,12 @@ def q_modularity(spark, d):
 @query()
 def q_communities(spark, d):
     """Label propagation on the graph of cited sections and entries near each other."""
-    return graph.label_propagation(_purchases(spark, d), 4).groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    return graph.label_propagation(_purchases(spark, d)).groupBy("community").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def q_eigenvector(spark, d):
-    return graph.eigenvector(_purchases(spark, d), 10).withColumn("score", F.round("score", 6))
+    return graph.eigenvector(_purchases(spark, d)).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -668,7 +668,8 @@ def q_betweenness(spark, d):
 
 @query()
 def q_layout(spark, d):
-    return graph.force_layout(_purchases(spark, d), top=100, rounds=40)
+    """Layout of the thousand nodes of highest degree (the operator's bound)."""
+    return graph.force_layout(_purchases(spark, d))
 
 
 @query()

@@ -1,6 +1,6 @@
 """Whole jobs: each case failed before the review's finding was settled."""
 
-from pyspark.sql import functions as F
+import numpy as np
 
 import __spark_entry__ as entry
 
@@ -46,3 +46,18 @@ def test_hamming_join_keeps_every_record_and_title(spark, tmp_path):
     assert pick("member") == {("a", x, 0, 4) for x in "abcd"} | {("e", "e", 0, 1)}
     assert pick("title") == {("a", "b", 0, 4), ("a", "d", 0, 4)}
     assert len(got) == 7 + len(pick("pair"))
+
+
+def test_iterative_graph_queries_run_to_their_end(spark, tmp_path):
+    rows = [(p, p % 7 + s, 1.0) for p in range(110) for s in (0, 1)]
+    save(spark, tmp_path, "lineitem", rows, "l_partkey long, l_suppkey long, l_quantity double")
+    q = entry.queries()
+    assert q["q_layout"](spark, str(tmp_path)).count() == 118
+    score = {r["id"]: r["score"] for r in q["q_eigenvector"](spark, str(tmp_path)).collect()}
+    names = sorted(score)
+    at = {n: i for i, n in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for p, s, _ in rows:
+        m[at[f"p{p}"], at[f"s{s}"]] = m[at[f"s{s}"], at[f"p{p}"]] = 1
+    want = np.abs(np.linalg.eigh(m)[1][:, -1])
+    assert max(abs(score[n] - want[at[n]]) for n in names) < 2e-6

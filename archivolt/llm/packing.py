@@ -2,16 +2,18 @@
 
 Lengths are whole numbers up to the capacity, so a histogram of at most
 ``capacity`` bins says all there is to pack, whatever the number of documents.
-Lengths are placed longest first; a placement joins a pattern (the lengths of a
-container) to the fullest open patterns that the length fits, all alike
-containers at once by their count. Patterns are then joined back to documents
-by rank: the r-th document of a length takes the r-th place for that length.
-A document longer than the capacity is divided into full pieces and a rest.
+Lengths are placed longest first, each into the shortest open pack (the one
+with the most room), all alike packs at once by their count; a new pack is
+opened only where the shortest one is too full. Patterns are then joined back to
+documents by rank: the r-th document of a length takes the r-th place for that
+length. A document longer than the capacity is divided into full pieces and a
+rest.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -50,32 +52,39 @@ def token_counts(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Packing patterns and their counts: [(lengths of a container, containers)].
 
-    ``open_`` keeps patterns by the room they have left. For each length,
-    longest first, patterns with the least room that still fits take it.
+    ``open_`` keeps patterns by the room they have left. Each length, longest
+    first, goes one by one to a pattern with the most room; the same length goes
+    on into the new containers it has opened while nothing has more room.
     """
     open_: dict[int, Counter] = defaultdict(Counter)
+    rooms: list[int] = []  # negated, so that the most room comes first; may name rooms that are empty by now
+
+    def put(pattern: tuple[int, ...], n: int, room: int) -> None:
+        if not open_[room]:
+            heapq.heappush(rooms, -room)
+        open_[room][pattern] += n
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left > 0:
-            room = next((r for r in range(length, capacity) if open_.get(r)), None)
-            if room is None:
-                # new containers, each filled with as many of this length as are left over evenly
+            while rooms and not open_[-rooms[0]]:
+                heapq.heappop(rooms)
+            room = -rooms[0] if rooms else 0
+            if room < length:
+                # new containers, each the shortest one until no more of this length fits
                 each = min(capacity // length, left)
                 n = left // each
-                open_[capacity - each * length][(length,) * each] += n
+                put((length,) * each, n, capacity - each * length)
                 left -= n * each
                 continue
             pattern, count = next(iter(open_[room].items()))
-            each = min(room // length, left)
-            n = min(count, left // each)
+            n = min(count, left)
             if n == count:
                 del open_[room][pattern]
             else:
                 open_[room][pattern] -= n
-            if not open_[room]:
-                del open_[room]
-            open_[room - each * length][pattern + (length,) * each] += n
-            left -= n * each
+            put(pattern + (length,), n, room - length)
+            left -= n
     return sorted(((p, n) for ps in open_.values() for p, n in ps.items()), key=lambda x: (-len(x[0]), x[0]))
 
 
@@ -102,7 +111,9 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             place += each
         first += n
     schema = "length int, lo bigint, hi bigint, first bigint, each int, place int"
-    runs = spark.createDataFrame(runs, schema)
+    # A run is found by length and block of ranks, so that neither a frequent length nor one of many runs is one key.
+    block = lambda c: F.floor(F.col(c) / RANK_BLOCK)
+    runs = spark.createDataFrame(runs, schema).withColumn("rb", F.explode(F.sequence(block("lo"), F.floor((F.col("hi") - 1) / RANK_BLOCK))))
     # Ranks within a length in two steps, so that a frequent length is no single task.
     blocks = pieces.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BLOCK)).cast("int"))
     sizes = blocks.groupBy("length", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -110,7 +121,7 @@ def pack(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sizes = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
     within = Window.partitionBy("length", "b").orderBy("doc_id", "piece")
     ranked = blocks.withColumn("r", F.row_number().over(within) - 1).join(sizes, ["length", "b"]).withColumn("r", F.col("r") + F.col("ahead"))
-    at = ranked.join(runs, "length").where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
+    at = ranked.withColumn("rb", block("r")).join(runs, ["length", "rb"]).where((F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
     off = F.col("r") - F.col("lo")
     return at.select("doc_id", "piece", "start", "length", (F.col("first") + F.floor(off / F.col("each"))).cast("bigint").alias("container"), (F.col("place") + off % F.col("each")).cast("int").alias("place"))
 
@@ -130,5 +141,14 @@ def p7_fill(spark, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill}
-ORACLE = {}
+def p7_kept(spark, sf_dir: str) -> DataFrame:
+    """Documents with text by whether their pieces hold every token once (``whole``)."""
+    counts = cut_to_table(token_counts(table(spark, sf_dir, "documents")).where(F.col("n_tokens") > 0), "counts")
+    packed = pack(counts)
+    had = packed.groupBy("doc_id").agg(F.sum("length").alias("placed"), F.count_distinct("start").alias("starts"), F.count(F.lit(1)).alias("pieces"), F.max(F.col("start") + F.col("length")).alias("end"))
+    whole = (F.col("placed") == F.col("n_tokens")) & (F.col("end") == F.col("n_tokens")) & (F.col("starts") == F.col("pieces"))
+    return counts.join(had, "doc_id", "left").groupBy(F.coalesce(whole, F.lit(False)).alias("whole")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p7_kept": p7_kept}
+ORACLE = {"p7_kept": "SELECT true AS whole, count(*) AS documents FROM documents WHERE length(text) > 0"}

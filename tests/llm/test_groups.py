@@ -1,3 +1,4 @@
+import math
 import random
 
 from archivolt.llm.groups import connected_groups, match_groups, union_find
@@ -35,6 +36,18 @@ def test_rounds_equal_brute_force(spark):
         assert len(got) == len(set(got)) and dict(got) == brute(pairs)
 
 
+def test_a_chain_takes_few_rounds(spark):
+    n, per_part = 4000, 40
+    pairs = [(f"{k:05}", f"{k + 1:05}") for k in range(n)]
+    random.Random(3).shuffle(pairs)
+    rounds = []
+    got = dict(tuple(r) for r in connected_groups(spark.createDataFrame(pairs, "a string, b string"), per_part=per_part, rounds=rounds).collect())
+    assert len(got) == n + 1 and set(got.values()) == {"00000"}
+    assert rounds[0][0] == 100 * per_part and rounds[-1][0] <= per_part and rounds[-1][1] == 1
+    assert len(rounds) <= 3 * math.log2(n / per_part)
+    assert all(a > b for (a, _), (b, _) in zip(rounds, rounds[1:]))
+
+
 def test_union_find():
     assert union_find([("b", "a"), ("c", "b"), ("e", "d")]) == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
 

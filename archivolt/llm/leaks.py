@@ -4,8 +4,10 @@ Every training document gives postings (term, document, position) for the terms
 that occur in test passages. Of each passage the rarest terms of every window
 are looked up; a posting's position less the term's offset in the passage is
 where the passage would begin, so postings that agree on it intersect. Where
-enough of them meet, the passage is aligned with the document's words there:
-an exact phrase or a proximity match of at least ``least_words`` words.
+enough of them meet, the passage is aligned with the document's words there,
+many candidates at once: an exact phrase or a proximity match of at least
+``least_words`` words. A passage that only shares a phrase with the one that
+stands there is left out; passages that agree equally well are all told.
 
 The test set is a reference table of bounded size (checked); documents are not
 bounded in number or length, and none is cut or skipped.
@@ -13,10 +15,12 @@ bounded in number or length, and none is cut or skipped.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +30,11 @@ from archivolt.session import bounded_rows, cut_to_table, table
 WORD = re.compile(r"[^\W_]+")
 #: Of any 15 words with at most 2 differing, 6 of the 8 rarest agree: no such stretch has fewer than LEAST_HITS.
 WINDOW, RAREST, BUCKET, LEAST_HITS, SEEDS = 15, 8, 8, 6, 3
+#: A stretch starts and ends with an equal word: of 15 words whose first or last one differs 14 are seen. "About one word in
+#: eight" of 15 may be two and a part of a third, 0.84 of them equal.
 LEAST_WORDS, LEAST_SHARE = 14, 0.84
+#: Words that may be added or missing beyond the shifts that the hits themselves show.
+BAND = 2
 
 
 def words(text: str) -> list[str]:
@@ -41,107 +49,166 @@ def anchors(passages: dict[int, list[str]], df: dict[str, int]) -> tuple[list[tu
     """
     out, seeds = [], set()
     for item, ws in passages.items():
-        keep: set[int] = set()
-        for a in range(max(1, len(ws) - WINDOW + 1)):
-            span = range(a, min(len(ws), a + WINDOW))
-            rare = sorted(span, key=lambda k: (df.get(ws[k], 0), k))[:RAREST]
-            keep.update(rare)
-            seeds.update(ws[k] for k in rare[:SEEDS])
-        out += [(ws[k], item, k) for k in sorted(keep)]
+        windows = rare_windows(ws, df)
+        out += [(ws[k], item, k) for k in sorted({k for rare in windows for k in rare})]
+        seeds.update(ws[k] for rare in windows for k in rare[:SEEDS])
     return out, seeds
 
 
-def align(p: list[str], d: list[str], shift: int, band: int = 14) -> tuple[int, int, int, int, int]:
-    """Best local alignment of passage ``p`` with ``d`` near diagonal ``shift``.
+def rare_windows(ws: list[str], df: dict[str, int]) -> list[list[int]]:
+    """Offsets of the RAREST terms of every window, rarest first."""
+    spans = [range(a, min(len(ws), a + WINDOW)) for a in range(max(1, len(ws) - WINDOW + 1))]
+    return [sorted(span, key=lambda k: (df.get(ws[k], 0), k))[:RAREST] for span in spans]
 
-    (words of the passage, words equal, words of the document, start in p, start in d);
-    an equal word counts 1, a differing, missing or added one -1.
+
+def window_masks(ws: list[str], df: dict[str, int]) -> np.ndarray:
+    """The offsets of :func:`rare_windows` as bits, windows x 2."""
+    out = np.zeros((max(1, len(ws) - WINDOW + 1), 2), np.uint64)
+    for w, rare in enumerate(rare_windows(ws, df)):
+        for k in rare:
+            out[w, k % 128 // 64] |= np.uint64(1 << k % 64)
+    return out
+
+
+def in_one_window(cands: list[tuple], masks: dict[int, np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """Those of (text, passage, first and last begin, bits of the offsets hit) of which some window has LEAST_HITS of its rarest terms."""
+    by: dict[int, list[tuple]] = {}
+    for c in cands:
+        by.setdefault(c[1], []).append(c)
+    out = []
+    for no, cs in by.items():
+        hit = np.array([[c[4], c[5]] for c in cs], np.int64).view(np.uint64)
+        for a in range(0, len(cs), 4096):
+            met = np.bitwise_count(hit[a : a + 4096, None, :] & masks[no][None]).sum(2).max(1) >= LEAST_HITS
+            out += [cs[a + k][:4] for k in np.nonzero(met)[0]]
+    return sorted(set(out))
+
+
+def scores(p: np.ndarray, d: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Best local alignment scores of many pairs at once, in a band: (score, end row * width + end column, ways).
+
+    Row c of ``p`` holds the words of a passage as numbers (-1 past its end),
+    row c of ``d`` the document's words from the band's left edge on (-2 where
+    there are none), so that column k of the band at passage word i is word i + k.
+    An equal word counts 1, a differing, missing or added one -1. ``ways`` (kept
+    if asked) says how each cell was reached: 0 it was not, 1 diagonal, 2 a
+    passage word without its like, 3 a word added in the document.
     """
-    best = (0, 0, 0, 0, 0, 0)  # score, then the result
-    before: dict[int, tuple] = {}
-    for i in range(1, len(p) + 1):
-        now: dict[int, tuple] = {}
-        w = p[i - 1]
-        for j in range(max(1, i + shift - band), min(len(d), i + shift + band) + 1):
-            # cell: (score, equal, start in p, start in d)
-            up, left = before.get(j), now.get(j - 1)
-            dia = before.get(j - 1) or (0, 0, i - 1, j - 1)
-            cell = (dia[0] + 1, dia[1] + 1, dia[2], dia[3]) if w == d[j - 1] else (dia[0] - 1, dia[1], dia[2], dia[3])
-            if up and up[0] - 1 > cell[0]:
-                cell = (up[0] - 1, up[1], up[2], up[3])
-            if left and left[0] - 1 > cell[0]:
-                cell = (left[0] - 1, left[1], left[2], left[3])
-            if cell[0] > 0:
-                now[j] = cell
-                if cell[0] > best[0]:
-                    best = (cell[0], i - cell[2], cell[1], j - cell[3], cell[2], cell[3])
-        before = now
-    return best[1:]
-
-
-def best_score(p: list[str], d: list[str], shift: int, band: int = 14) -> int:
-    """The score that :func:`align` would reach, without the way to it."""
-    width, best = 2 * band + 1, 0
-    before = [0] * (width + 1)
-    n = len(d)
-    for i, w in enumerate(p):
-        now, left = [0] * (width + 1), 0
-        j = i + shift - band
-        for k in range(width):
-            # column k is word j + k of the document; the diagonal stays in its column, "up" comes from the next one
-            if 0 <= j + k < n:
-                c = before[k] + (1 if w == d[j + k] else -1)
-                if before[k + 1] - 1 > c:
-                    c = before[k + 1] - 1
-                if left - 1 > c:
-                    c = left - 1
-                if c > 0:
-                    now[k] = left = c
-                    if c > best:
-                        best = c
-                else:
-                    left = 0
-            else:
-                left = 0
-        before = now
+    n, m = p.shape
+    width = d.shape[1] - m + 1
+    steps = np.arange(width, dtype=np.int16)
+    before = np.zeros((n, width + 1), np.int16)
+    best, at = np.zeros(n, np.int16), np.zeros(n, np.int32)
+    ways = np.zeros((m, n, width), np.int8) if keep else None
+    for i in range(m):
+        w = p[:, i : i + 1]
+        there = d[:, i : i + width]
+        dia = before[:, :width] + np.where(w == there, np.int16(1), np.int16(-1))
+        up = before[:, 1:] - np.int16(1)
+        cell = np.maximum(np.maximum(dia, up), 0)
+        cell[(there == -2) | (w == -1)] = 0
+        # added words: a cell may come from any column to its left, at one point a word
+        now = np.maximum.accumulate(cell + steps, axis=1) - steps
+        now[(there == -2) | (w == -1)] = 0
+        np.maximum(now, 0, out=now)
+        if keep:
+            ways[i] = np.where(now == 0, 0, np.where(now == dia, 1, np.where(now == up, 2, 3)))
+        top = now.max(1)
+        better = top > best
+        best[better] = top[better]
+        at[better] = i * width + now[better].argmax(1)
+        before[:, :width] = now
+    return best, at, ways
+
+
+def stretch(equal: list[bool], least_words: int, least_share: float) -> tuple[int, int] | None:
+    """[a, b) of the longest run of an alignment's steps that holds ``least_share`` equal ones and starts and ends with one."""
+    n = len(equal)
+    sums = [0.0]
+    for e in equal:
+        sums.append(sums[-1] + (e - least_share))
+    best = None
+    for a in range(n):
+        if not equal[a]:
+            continue
+        for b in range(n, a + max(least_words, (best[1] - best[0] + 1) if best else 0) - 1, -1):
+            if equal[b - 1] and sums[b] - sums[a] >= -1e-9:
+                best = (a, b)
+                break
     return best
 
 
-def judge(text: str, cands: list[tuple[int, int, int, int, int]], passages: dict[int, list[str]], least_words: int, least_share: float) -> list[tuple[int, str, int, int, int]]:
-    """(item, 'exact' or 'near', start, passage words, words equal) of each leak in one document.
+def judge(cands: list[tuple[int, int, int, int]], texts: list[list[int]], passages: dict[int, list[int]], least_words: int, least_share: float, band: int = BAND) -> list[tuple[int, int, int, int, list[int]]]:
+    """(text, item, start, steps, positions of the equal words) of each candidate (text, item, first and last begin) that holds.
 
-    ``cands`` holds (item, bucket, hits, first and last position of the hits).
-    Where another passage has its hits around and much closer, a passage only
-    shares phrases with it and is not aligned; of alignments that overlap the
-    one with most equal words stands.
+    ``texts`` and ``passages`` are words as numbers; the passage begins in the
+    text between the two positions, give or take ``band`` words added or
+    missing. Every candidate is aligned by itself. Of an alignment the longest
+    stretch counts that keeps the share. Memory: candidates x passage x band
+    bytes, for which candidates go by blocks.
     """
-    ws = words(text)
-    spots = sorted(cands, key=lambda c: (-c[2], c[0], c[1]))
-    aligned = []
-    # equal words less all others: at least so much in any stretch that can pass
+    out = []
+    if not cands:
+        return out
+    # at least so much in any alignment around a stretch that can pass
     least_score = math.floor(least_words * (2 * least_share - 1))
-    strong: list[tuple[int, int, float]] = []
-    for item, b, hits, x, y in spots:
-        close = hits / (y - x + 1)
-        if any(x2 - 3 <= x and y <= y2 + 3 and close < 0.75 * c2 for x2, y2, c2 in strong):
-            continue
-        if hits >= 10 and len(strong) < 64:
-            strong.append((x, y, close))
-        lo, hi = b * BUCKET, b * BUCKET + 2 * BUCKET + len(passages[item])
-        p = passages[item]
-        a = max(0, lo - BUCKET)
-        seg = ws[a : hi + BUCKET]
-        if best_score(p, seg, lo + BUCKET - a) < least_score:
-            continue
-        n, same, m, pi, dj = align(p, seg, lo + BUCKET - a)
-        if n >= least_words and same >= least_share * max(n, m):
-            aligned.append((same, item, n, a + dj, a + dj + m, same == n == m == len(p)))
-    out, taken = [], []
-    for same, item, n, x, y, exact in sorted(aligned, key=lambda t: (-t[0], t[1], t[3])):
-        if any(min(y, y2) - max(x, x2) > 0.5 * (y - x) and (item != i2 and same < s2 or item == i2) for x2, y2, i2, s2 in taken):
+    by_size = sorted(cands, key=lambda c: (len(passages[c[1]]), c))
+    for lo in range(0, len(by_size), 512):
+        part = by_size[lo : lo + 512]
+        m = max(len(passages[c[1]]) for c in part)
+        width = max(c[3] - c[2] for c in part) + 2 * band + 1
+        p = np.full((len(part), m), -1, np.int32)
+        d = np.full((len(part), m + width - 1), -2, np.int32)
+        for r, (t, item, x, _) in enumerate(part):
+            p[r, : len(passages[item])] = passages[item]
+            a = x - band
+            seg = texts[t][max(0, a) : max(0, a + m + width - 1)]
+            d[r, max(0, -a) : max(0, -a) + len(seg)] = seg
+        best, _, _ = scores(p, d)
+        rows = np.nonzero(best >= least_score)[0]
+        if not len(rows):
             continue
-        taken.append((x, y, item, same))
-        out.append((item, "exact" if exact else "near", x, n, same))
+        _, at, ways = scores(p[rows], d[rows], keep=True)
+        for q, r in enumerate(rows):
+            t, item, x, _ = part[r]
+            i, k = divmod(int(at[q]), width)
+            steps: list[tuple[bool, int]] = []  # (equal, position in the text) from the end to the start
+            while i >= 0 and 0 <= k < width and (w := ways[i, q, k]):
+                j = i + k
+                if w == 1:
+                    steps.append((p[r, i] == d[r, j], j))
+                    i -= 1
+                elif w == 2:
+                    steps.append((False, j))
+                    i, k = i - 1, k + 1
+                else:
+                    steps.append((False, j))
+                    k -= 1
+            steps.reverse()
+            got = stretch([bool(e) for e, _ in steps], least_words, least_share)
+            if got:
+                same = [x - band + j for e, j in steps[got[0] : got[1]] if e]
+                out.append((t, item, same[0], got[1] - got[0], same))
+    return out
+
+
+def better_told(found: list[tuple[int, int, int, list[int]]]) -> list[bool]:
+    """Whether another passage has more equal words in the same place, for stretches (item, start, steps, equal positions) of one text.
+
+    Passages may share turns of phrase. Where the text holds the words of one of
+    them, others agree only in the phrase. Passages that agree with the text in
+    equally many words of the place, as where one holds a part of another, all
+    stand.
+    """
+    order = sorted(range(len(found)), key=lambda k: found[k][1])
+    starts = [found[k][1] for k in order]
+    longest = max((f[3][-1] - f[1] + 1 for f in found), default=0)
+    out = []
+    for item, start, _, same in found:
+        end = same[-1] + 1
+        others = order[bisect.bisect_left(starts, start - longest) : bisect.bisect_left(starts, end)]
+        most = max((bisect.bisect_left(o, end) - bisect.bisect_left(o, start) for k in others if found[k][0] != item and (o := found[k][3])), default=0)
+        out.append(most > len(same))
     return out
 
 
@@ -151,11 +218,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
     ``documents`` has doc_id, text, ``items`` item_id, passage; other columns
     are left out. Null and empty texts and passages, and passages of fewer than
     ``least_words`` words, match nothing. Letter case, punctuation and line
-    breaks do not count. Repeated items are one item each.
+    breaks do not count. Repeated items are one item each, several passages of an
+    item are looked for one by one; the best place of an item stands. ``words``
+    counts the steps of the alignment, words added in the document too.
     """
     spark = documents.sparkSession
     rows = bounded_rows(items.select("item_id", "passage").where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).distinct(), limit, "the evaluation set")
-    passages = {r["item_id"]: ws for r in sorted(rows, key=lambda r: (r["item_id"], r["passage"])) if len(ws := words(r["passage"])) >= least_words}
+    kept = [(r["item_id"], ws) for r in sorted(rows, key=lambda r: (r["item_id"], r["passage"])) if len(ws := words(r["passage"])) >= least_words]
+    item_of, passages = [i for i, _ in kept], dict(enumerate(ws for _, ws in kept))
     out = "doc_id bigint, item_id bigint, kind string, start int, words int, same int"
     if not passages:
         return spark.createDataFrame([], out)
@@ -166,28 +236,38 @@ def find_leaks(documents: DataFrame, items: DataFrame, least_words: int = LEAST_
     postings = cut_to_table(tokens.join(F.broadcast(terms), "term", "left_semi"), "postings")
     df = {r["term"]: r["n"] for r in postings.groupBy("term").agg(F.count_distinct("doc_id").alias("n")).toLocalIterator()}
     found, seeds = anchors(passages, df)
-    rarest = spark.createDataFrame(found, "term string, item_id bigint, off int")
+    rarest = spark.createDataFrame(found, "term string, passage int, off int")
     seeded = postings.join(F.broadcast(spark.createDataFrame([(x,) for x in sorted(seeds)], "term string")), "term", "left_semi").select("doc_id").distinct()
     hits = postings.join(seeded, "doc_id", "left_semi").join(F.broadcast(rarest), "term").withColumn("b", F.floor((F.col("pos") - F.col("off")) / BUCKET).cast("int"))
     # Distinct offsets as two bit sets: combined before the shuffle, unlike a distinct count. Offsets 128 apart share a
-    # bit, which only understates matches far longer than LEAST_HITS.
+    # bit, in the windows' masks too.
     one = F.lit(1).cast("bigint")
-    bits = lambda lo: F.bit_count(F.bit_or(F.when((F.col("off") % 128 < 64) == F.lit(lo), F.call_function("shiftleft", one, F.col("off") % 64)).otherwise(F.lit(0).cast("bigint"))))
-    hits = hits.groupBy("doc_id", "item_id", "b").agg((bits(True) + bits(False)).alias("n"), F.min("pos").alias("x"), F.max("pos").alias("y"))
+    bit = lambda low: F.when((F.col("off") % 128 < 64) == F.lit(low), F.call_function("shiftleft", one, F.col("off") % 64)).otherwise(F.lit(0).cast("bigint"))
+    shift = F.col("pos") - F.col("off")
+    hits = hits.groupBy("doc_id", "passage", "b").agg(F.bit_or(bit(True)).alias("p"), F.bit_or(bit(False)).alias("q"), F.min(shift).alias("x"), F.max(shift).alias("y"))
     # A passage that begins near a bucket's edge has its postings in two: each bucket counts with its right neighbour.
-    both = hits.select("doc_id", "item_id", "n", "x", "y", F.explode(F.array(F.col("b"), F.col("b") - 1)).alias("b")).groupBy("doc_id", "item_id", "b").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.max("y").alias("y"))
-    met = both.where(F.col("n") >= LEAST_HITS).groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "b", F.col("n").cast("int").alias("n"), "x", "y")).alias("cands"))
+    both = hits.withColumn("b", F.explode(F.array(F.col("b"), F.col("b") - 1))).groupBy("doc_id", "passage", "b").agg(F.bit_or("p").alias("p"), F.bit_or("q").alias("q"), F.min("x").alias("x"), F.max("y").alias("y"))
+    met = both.where(F.bit_count("p") + F.bit_count("q") >= LEAST_HITS).groupBy("doc_id").agg(F.collect_set(F.struct("passage", "x", "y", "p", "q")).alias("cands"))
+    masks = {no: window_masks(ws, df) for no, ws in passages.items()}
+    number = {w: k for k, w in enumerate(sorted({w for ws in passages.values() for w in ws}))}
+    coded = {item: [number[w] for w in ws] for item, ws in passages.items()}
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = []
-            for doc, text, cands in zip(pdf["doc_id"], pdf["text"], pdf["cands"]):
-                best: dict[int, tuple] = {}
-                for item, kind, start, n, same in judge(text, [(c["item_id"], c["b"], c["n"], c["x"], c["y"]) for c in cands], passages, least_words, least_share):
-                    if item not in best or same > best[item][5]:
-                        best[item] = (doc, item, kind, start, n, same)
-                got += best.values()
-            yield pd.DataFrame(got, columns=["doc_id", "item_id", "kind", "start", "words", "same"])
+            texts = [[number.get(w, -3) for w in words(t)] for t in pdf["text"]]
+            cands = in_one_window([(k, c["passage"], c["x"], c["y"], c["p"], c["q"]) for k, cs in enumerate(pdf["cands"]) for c in cs], masks)
+            of_text: dict[int, list[tuple]] = {}
+            for k, no, start, n, same in judge(cands, texts, coded, least_words, least_share):
+                of_text.setdefault(k, []).append((item_of[no], start, n, same, len(same) == n == len(coded[no])))
+            best: dict[tuple, tuple] = {}
+            for k, found in of_text.items():
+                for (item, start, n, same, exact), worse in zip(found, better_told([f[:4] for f in found])):
+                    me = (len(same), -n, -start, exact)
+                    if not worse and ((k, item) not in best or me > best[k, item]):
+                        best[k, item] = me
+            docs = list(pdf["doc_id"])
+            rows = [(docs[k], item, "exact" if exact else "near", -at, -n, same) for (k, item), (same, n, at, exact) in sorted(best.items())]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "kind", "start", "words", "same"])
 
     return docs.join(met, "doc_id").repartition(F.xxhash64("doc_id")).mapInPandas(verify, out).dropDuplicates(["doc_id", "item_id"])
 

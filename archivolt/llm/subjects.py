@@ -16,19 +16,23 @@ import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.functions.gazetteer import edits
 from archivolt.session import bounded_rows, cut_to_table, table
 
-#: At most so many labelled documents are learnt from (the ones with the least hash of doc_id).
+#: At most so many labelled documents are learnt from (the ones with the least hash of doc_id). It bounds the rule set too.
 MAX_LABELLED = 20_000
-MAX_RULES = 200_000
+#: A word or rule must stand in so many labelled sentences; a rule has at most so many words.
+LEAST_SUPPORT, MOST_WORDS = 4, 3
 LEAST_P = 0.65
+#: What is held of the calibration before any held-out sentence is seen: (evidence, hit rate), each worth PRIOR_ROWS sentences.
+PRIOR_CURVE, PRIOR_ROWS = ((0.0, 0.3), (3.0, 0.6), (5.0, 0.9)), 20
+#: Evidence is rounded to this before it is counted for the calibration.
+STEP = 0.05
 WORD = re.compile(r"[^\W\d_]{2,}")
 #: A sentence ends at . ! ? before white space, or at an empty line.
 SENTENCE = re.compile(r"(?<=[.!?])[\"'»”)\]]*\s+|\n\s*\n|\r\s*\r")
@@ -75,6 +79,12 @@ def lower_bound(hits: float, n: float, z: float = 1.64) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def wilson(hits: Column, n: Column, z: float = 1.64) -> Column:
+    """:func:`lower_bound` as a column."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def logit(p: float) -> float:
     p = min(max(p, 1e-4), 1 - 1e-4)
     return math.log(p / (1 - p))
@@ -87,8 +97,7 @@ class Rules:
         self.subjects = subjects
         self.single: dict[str, list[tuple[int, float]]] = {}
         self.pairs: dict[str, list[tuple[frozenset, int, float]]] = {}
-        #: Calibration as a step function; before it is learnt, evidence of about one sure word is even odds.
-        self.ends, self.rates = [0.0, 3.0, 5.0], [0.3, 0.6, 0.9]
+        self.calibrate([])
 
     def add(self, words: frozenset, subject: int, weight: float) -> None:
         if len(words) == 1:
@@ -121,16 +130,20 @@ class Rules:
         got = self.best(words)
         return got and (got[0], self.rates[max(0, bisect.bisect_right(self.ends, got[1]) - 1)])
 
+    def calibrate(self, counted: list[tuple[float, float, float]]) -> None:
+        """Learn the step function from (evidence, hits, rows); the prior curve counts as a few rows more."""
+        self.ends, self.rates = isotonic(counted + [(e, p * PRIOR_ROWS, PRIOR_ROWS) for e, p in PRIOR_CURVE])
+
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
+def isotonic(counted: list[tuple[float, float, float]]) -> tuple[list[float], list[float]]:
     """Rising step function of hit rate over evidence: (lower ends, rates), by pooling adjacent violators."""
     blocks: list[list[float]] = []  # lower end, hits, rows
-    for e, hit in sorted(zip(x.tolist(), y.tolist())):
+    for e, hits, rows in sorted(counted):
         if blocks and blocks[-1][0] == e:
-            blocks[-1][1] += hit
-            blocks[-1][2] += 1
+            blocks[-1][1] += hits
+            blocks[-1][2] += rows
         else:
-            blocks.append([e, hit, 1])
+            blocks.append([e, hits, rows])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             _, h, n = blocks.pop()
             blocks[-1][1] += h
@@ -156,10 +169,9 @@ def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], max_labe
     n_docs = train.select("doc_id").distinct().count()
     if n_docs == 0:
         return rules
-    least = 8 if n_docs >= 1000 else 4 if n_docs >= 200 else 2
     # Words that say something: among labelled documents one subject has them far more often than by chance.
     of_word = train.select("doc_id", "has", F.explode("words").alias("w")).dropDuplicates(["doc_id", "w"])
-    total = of_word.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    total = of_word.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SUPPORT)
     hits = of_word.select("w", F.explode("has").alias("s")).groupBy("w", "s").agg(F.count(F.lit(1)).alias("k"))
     share = {r["s"]: r["k"] / n_docs for r in train.select("doc_id", "has").dropDuplicates(["doc_id"]).select(F.explode("has").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k")).collect()}
     telling = [r for r in total.join(hits, "w").select("w", "s", "k", "n").toLocalIterator() if lower_bound(r["k"], r["n"]) > max(1.5 * share[r["s"]], share[r["s"]] + 0.05)]
@@ -175,34 +187,31 @@ def learn(documents: DataFrame, labels: DataFrame, subjects: list[str], max_labe
     transactions = train.select("doc_id", items("words", "has").alias("items")).where(F.exists("items", lambda x: ~x.startswith("#")))
     transactions = cut_to_table(transactions.dropDuplicates(["doc_id", "items"]).select("items"), "transactions")
     n = transactions.count()
-    fp = FPGrowth(itemsCol="items", minSupport=min(1.0, max(least, 1e-5 * n) / n), minConfidence=0.1, numPartitions=max(4, min(200, n // 20_000)))
+    fp = FPGrowth(itemsCol="items", minSupport=min(1.0, LEAST_SUPPORT / max(n, 1)), minConfidence=0.1, numPartitions=max(4, min(200, n // 20_000)))
     mined = fp.fit(transactions).associationRules
-    mined = mined.where(F.col("consequent")[0].startswith("#") & ~F.exists("antecedent", lambda x: x.startswith("#")) & (F.size("antecedent") <= 3))
-    got = bounded_rows(mined.select("antecedent", F.col("consequent")[0].alias("s"), "confidence", "support"), MAX_RULES, "the rule set")
+    mined = mined.where(F.col("consequent")[0].startswith("#") & ~F.exists("antecedent", lambda x: x.startswith("#")) & (F.size("antecedent") <= MOST_WORDS))
+    mined = mined.select(F.array_sort("antecedent").alias("words"), F.substring(F.col("consequent")[0], 2, 1_000).alias("s"), "confidence", (F.col("support") * n).alias("k"))
+    mined = cut_to_table(mined.withColumn("low", wilson(F.col("k"), F.col("k") / F.col("confidence"))), "rules")
+    prior = F.create_map(*[F.lit(x) for s, p in share.items() if s for x in (s, p)])[F.col("s")] if any(share) else F.lit(0.0)
+    mined = mined.withColumn("prior", F.coalesce(prior, F.lit(0.0)))
+    telling = mined.where(F.col("low") > F.greatest(1.5 * F.col("prior"), F.col("prior") + 0.1))
+    # A rule falls if the rule without one of its words is as sure.
+    without = telling.where(F.size("words") > 1).select("words", "s", "low", F.explode("words").alias("w")).select("words", "s", "low", F.array_remove("words", F.col("w")).alias("part"))
+    fallen = without.join(mined.select(F.col("words").alias("part"), "s", F.col("low").alias("part_low")), ["part", "s"]).where(F.col("part_low") >= F.col("low") - 0.05)
     index = {s: k for k, s in enumerate(subjects)}
-    sure: dict[tuple[frozenset, int], tuple[float, float]] = {}
-    for r in got:
-        s = index.get(r["s"][1:])
-        if s is not None:
-            k = r["support"] * n
-            sure[frozenset(r["antecedent"]), s] = (r["confidence"], lower_bound(k, k / r["confidence"]))
-    for (words, s), (_, low) in sorted(sure.items(), key=lambda x: (len(x[0][0]), sorted(x[0][0]), x[0][1])):
-        prior = share.get(subjects[s], 0.0)
-        if low <= max(1.5 * prior, prior + 0.1):
-            continue
-        parts = [sure.get((words - {w}, s), (0, 0.0))[1] for w in words] if len(words) > 1 else []
-        if any(p >= low - 0.05 for p in parts):
-            continue  # a shorter rule within it is as sure
-        rules.add(words, s, logit(low) - logit(prior))
-    hold = sents.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < int(1000 * held_out)).select("words", "has").limit(50_000).collect()
-    x, y = [], []
-    for r in hold:
-        best = rules.best(set(r["words"]))
-        if best:
-            x.append(best[1])
-            y.append(subjects[best[0]] in r["has"])
-    if len(x) >= 200:
-        rules.ends, rules.rates = isotonic(np.array(x), np.array(y, float))
+    for r in telling.join(fallen.select("words", "s").distinct(), ["words", "s"], "left_anti").orderBy(F.size("words"), "words", "s").toLocalIterator():
+        if r["s"] in index:
+            rules.add(frozenset(r["words"]), index[r["s"]], logit(r["low"]) - logit(r["prior"]))
+    spread = spark.sparkContext.broadcast(rules)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(best[1], spread.value.subjects[best[0]] in has) for ws, has in zip(pdf["words"], pdf["has"]) if (best := spread.value.best(set(ws)))]
+            yield pd.DataFrame({"e": [round(round(e / STEP) * STEP, 6) for e, _ in got], "hit": [float(h) for _, h in got]})
+
+    # One row a step of evidence comes back, however many sentences are held out.
+    hold = sents.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1000)) < int(1000 * held_out)).select("words", "has").mapInPandas(weigh, "e double, hit double")
+    rules.calibrate([(r["e"], r["hits"], r["n"]) for r in hold.groupBy("e").agg(F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n")).toLocalIterator()])
     return rules
 
 

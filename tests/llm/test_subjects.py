@@ -1,8 +1,6 @@
 import random
 
-import numpy as np
-
-from archivolt.llm.subjects import clean_labels, document_subjects, isotonic, sentences
+from archivolt.llm.subjects import clean_labels, document_subjects, Rules, isotonic, sentences
 
 WORDS = {"law": "statute hearing clerk verdict appeal petition".split(), "weather": "cloud gust squall isobar drizzle halo".split(), "press": "editor headline byline bulletin stringer column".split()}
 
@@ -51,5 +49,15 @@ def test_labels(spark):
 
 def test_sentences_and_isotonic():
     assert sentences("At 13.11 the gust moved. It was noted!\r\n\r\n1. Why the squall rose") == ["At 13.11 the gust moved.", "It was noted!", "1. Why the squall rose"] or len(sentences("At 13.11 the gust moved. It was noted!")) == 2
-    ends, rates = isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
+    ends, rates = isotonic([(1.0, 0.0, 1), (2.0, 1.0, 1), (3.0, 0.0, 1), (4.0, 1.0, 1)])
     assert rates == sorted(rates) and ends[0] == 1.0
+
+
+def test_calibration_grows_out_of_its_prior():
+    r = Rules(["law"])
+    r.add(frozenset({"statute"}), 0, 4.0)
+    assert r.subject_of({"statute"}) == (0, 0.6)
+    r.calibrate([(4.0, 10.0, 400.0)])
+    assert r.subject_of({"statute"})[1] < 0.6 and r.rates == sorted(r.rates)
+    r.calibrate([(4.0, 400.0, 400.0)])
+    assert r.subject_of({"statute"})[1] > 0.9

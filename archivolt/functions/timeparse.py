@@ -8,7 +8,7 @@ local times into instants.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo, available_timezones
@@ -81,6 +81,7 @@ class Reading:
     when: datetime
     zone: str | None = None
     off: int | None = None
+    odd: int = 0  # conventions that this reading goes against
 
 
 def squeeze(v: str) -> str:
@@ -98,13 +99,22 @@ def zone_names() -> dict[str, str]:
     return {z.upper(): z for z in available_timezones()}
 
 
-def _day(fmt: str, g: dict, pivot: int) -> datetime | None:
+def shifted_year(y: str, pivot: int, shift: int) -> int | None:
+    """The year moved by ``shift``, into 1900-2099; None where it is written in full or leaves that range."""
+    n = full_year(y, pivot)
+    if not shift:
+        return n
+    return n + shift if len(y) == 2 and 1900 <= n + shift <= 2099 else None
+
+
+def _day(fmt: str, g: dict, pivot: int, shift: int = 0) -> datetime | None:
     mon = g.get("mon")
     month = MONTHS.get(mon) if mon else int(g["m"])
-    if not month:
+    year = shifted_year(g["y"], pivot, shift)
+    if not month or year is None:
         return None
     try:
-        return datetime(full_year(g["y"], pivot), month, int(g.get("d") or 1))
+        return datetime(year, month, int(g.get("d") or 1))
     except ValueError:
         return None
 
@@ -135,12 +145,29 @@ def _zoned(fmt: str, when: datetime, z: str | None) -> Reading | None:
     return None
 
 
-def readings(value: str | None, allowed: frozenset = CONVENTIONS, pivot: int = 26) -> list[Reading]:
+def every_reading(value: str | None, pivot: int = 26) -> list[Reading]:
+    """All valid readings whatever the conventions: every order of day and month, both centuries of a two-digit year.
+
+    ``odd`` counts the conventions (:data:`CONVENTIONS`, the pivot) that a reading goes against.
+    """
+    out: list[Reading] = []
+    plain = readings(value, OPEN, pivot)
+    # Where the year of a reading stands in the text, it is written in full.
+    short = any(str(r.when.year) not in value for r in plain)
+    for shift in (0, 100, -100) if short else (0,):
+        for r in readings(value, OPEN, pivot, shift) if shift else plain:
+            name = r.fmt.removeprefix("span ").removesuffix("h:m").removesuffix("hm")
+            out.append(replace(r, odd=(name in AMBIGUOUS and name not in CONVENTIONS) + (shift != 0)))
+    return out
+
+
+def readings(value: str | None, allowed: frozenset = CONVENTIONS, pivot: int = 26, shift: int = 0) -> list[Reading]:
     """All valid readings of ``value``, in a fixed order; none if it names no real time.
 
     ``allowed`` says which of the orders that a separator leaves open may be
     read (:data:`OPEN` allows all of them). A span counts by its first end and
-    is read only if both ends can be.
+    is read only if both ends can be. With ``shift`` only two-digit years are
+    read, so many years off.
     """
     if value is None:
         return []
@@ -150,23 +177,25 @@ def readings(value: str | None, allowed: frozenset = CONVENTIONS, pivot: int = 2
     m = SPAN_TIGHT.fullmatch(s)
     ends = list(m.groups()) if m else SPAN.split(s)
     if len(ends) == 2 and all(any(c.isdigit() for c in e) for e in ends) and not s.startswith("--"):
-        first = _one(ends[0], allowed, pivot)
-        if first and _one(ends[1], allowed, pivot):
+        first = _one(ends[0], allowed, pivot, shift)
+        if first and _one(ends[1], allowed, pivot, shift):
             return [Reading(f"span {r.fmt}", r.kind, r.when, r.zone, r.off) for r in first]
         return []
-    return _one(s, allowed, pivot)
+    return _one(s, allowed, pivot, shift)
 
 
-def _one(s: str, allowed: frozenset, pivot: int) -> list[Reading]:
+def _one(s: str, allowed: frozenset, pivot: int, shift: int = 0) -> list[Reading]:
     out: list[Reading] = []
-    if EPOCH.fullmatch(s):
+    if shift and not re.search(r"(?<!\d)\d{2}(?!\d)", s):
+        return out
+    if EPOCH.fullmatch(s) and not shift:
         secs = int(s) / (1000 if len(s) >= 12 else 1)
         when = datetime(1970, 1, 1) + timedelta(seconds=int(secs))
         out.append(Reading("epoch", "instant", when, off=0))
         return out
     if m := DTG.fullmatch(s):
         g = m.groupdict()
-        base = _day("dtg", g, pivot)
+        base = _day("dtg", g, pivot, shift)
         when = base and _with_time(base, g["H"], g["M"], None, None)
         if when and g["z"] == "J":
             out.append(Reading("dtg", "local", when))
@@ -181,11 +210,11 @@ def _one(s: str, allowed: frozenset, pivot: int) -> list[Reading]:
             continue
         g = m.groupdict()
         if prec == "year":
-            y = full_year(g["y"], pivot)
-            if 1 <= y <= 9999:
+            y = shifted_year(g["y"], pivot, shift)
+            if y and 1 <= y <= 9999:
                 out.append(Reading(name, "year", datetime(y, 1, 1)))
             continue
-        base = _day(name, g, pivot)
+        base = _day(name, g, pivot, shift)
         if base is None:
             continue
         if prec == "month":
@@ -213,29 +242,17 @@ def instants(when: datetime, zone: str) -> list[datetime]:
     return [u.replace(tzinfo=None) for u in found]
 
 
-def normal(r: Reading, local_zone: str | None) -> tuple[str, float] | None:
-    """Normal form of a reading and its time in epoch seconds; None if it has no single instant."""
-    if r.kind == "day":
-        text, t = r.when.strftime("%Y-%m-%d"), r.when
-    elif r.kind == "month":
-        text, t = r.when.strftime("%Y-%m"), r.when
-    elif r.kind == "year":
-        text, t = r.when.strftime("%Y"), r.when
+def normals(r: Reading, local_zone: str | None) -> list[tuple[str, float]]:
+    """Normal forms of a reading with their times in epoch seconds: none, one, or two where clocks were put back."""
+    stamp = "%Y-%m-%dT%H:%M:%SZ"
+    if r.kind in ("day", "month", "year"):
+        at, stamp = [r.when], {"day": "%Y-%m-%d", "month": "%Y-%m", "year": "%Y"}[r.kind]
     elif r.kind == "instant":
         try:
-            t = r.when - timedelta(minutes=r.off or 0)
+            at = [r.when - timedelta(minutes=r.off or 0)]
         except OverflowError:
-            return None
-        text = t.strftime("%Y-%m-%dT%H:%M:%SZ")
+            return []
     else:
         zone = r.zone or local_zone
-        if not zone:
-            return None
-        at = instants(r.when, zone)
-        if len(at) != 1:
-            return None
-        t = at[0]
-        text = t.strftime("%Y-%m-%dT%H:%M:%SZ")
-    if t.year < 1000:
-        return None
-    return text, (t - datetime(1970, 1, 1)).total_seconds()
+        at = instants(r.when, zone) if zone else []
+    return [(t.strftime(stamp), (t - datetime(1970, 1, 1)).total_seconds()) for t in at if t.year >= 1000]

@@ -103,9 +103,9 @@ def strip_outlet(title: Column, source: Column) -> Column:
     return F.when(F.endswith(title, tail), F.left(title, F.length(title) - F.length(tail))).otherwise(title)
 
 
-def templated_field(text: Column, names: str) -> Column:
-    """Value of the first ``name: value`` line within the first 1,500 characters; ``names`` is a regex alternation."""
-    return empty_to_null(F.trim(F.regexp_extract(F.left(text, F.lit(1500)), rf"(?im)^[ \t]*(?:{names})[ \t]*:[ \t]*(.+)$", 1)))
+def templated_field(text: Column, names: str, cap: int | None = None) -> Column:
+    """Value of the first ``name: value`` line (within the first ``cap`` characters); ``names`` is a regex alternation."""
+    return empty_to_null(F.trim(F.regexp_extract(text if cap is None else F.left(text, F.lit(cap)), rf"(?im)^[ \t]*(?:{names})[ \t]*:[ \t]*(.+)$", 1)))
 
 
 def by_map(c: Column, mapping: dict[str, str], default: str | None) -> Column:

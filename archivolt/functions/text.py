@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from archivolt.session import bounded_rows
+
 # Patterns and word lists that results depend on.
 SHAPES = [
     ("tic-tac", r"(?i)\btic[\s-]?tacs?\b"),
@@ -59,8 +61,21 @@ def first_match(c: Column, rules: list[tuple[str, str]], cap: int | None = None)
     return F.coalesce(*[F.when(t.rlike(p), label) for label, p in rules])
 
 
-def detect_shape(blurb: Column, text: Column) -> Column:
-    return first_match(F.concat(F.coalesce(blurb, F.lit("")), F.lit(" "), F.left(F.coalesce(text, F.lit("")), F.lit(16000))), SHAPES)
+def detect_shape(blurb: Column, text: Column, cap: int | None = None) -> Column:
+    """Craft shape named in the blurb or in the text, or in its first ``cap`` characters."""
+    body = F.coalesce(text, F.lit(""))
+    return first_match(F.concat(F.coalesce(blurb, F.lit("")), F.lit(" "), body if cap is None else F.left(body, F.lit(cap))), SHAPES)
+
+
+def detect_incident(df: DataFrame, text: str, incidents: DataFrame, out: str = "incident_id", limit: int = 10_000) -> DataFrame:
+    """Add the id of the first incident, by ``ord``, one of whose patterns the text holds (case ignored); null without one.
+
+    ``incidents`` (ord, id, patterns array<string>) is a reference table of at
+    most ``limit`` rows, checked. A null text has no incident.
+    """
+    rows = sorted(bounded_rows(incidents.select("ord", "id", "patterns"), limit, "the incidents"), key=lambda r: (r["ord"], r["id"]))
+    rules = [(r["id"], "(?i)" + "|".join(f"(?:{p})" for p in r["patterns"])) for r in rows if r["patterns"]]
+    return df.withColumn(out, first_match(F.col(text), rules) if rules else F.lit(None).cast("string"))
 
 
 def keyword_hit(c: Column, pattern: str, before: int = 50, after: int = 60) -> Column:
@@ -169,12 +184,13 @@ def query_tokens(q: str) -> list[str]:
     return [t for t in re.findall(r"[a-z0-9_-]{2,}", q.lower()) if t not in LEXICAL_STOP]
 
 
-def lexical_score(title: Column, blurb: Column, text: Column, question: str) -> Column:
-    """6 a title hit, 3 a blurb hit, 1 a distinct text hit, 2 an adjacent pair found as a phrase."""
+def lexical_score(title: Column, blurb: Column, text: Column, question: str, cap: int | None = None) -> Column:
+    """6 a title hit, 3 a blurb hit, 1 a distinct text hit, 2 an adjacent pair found as a phrase, in (the first ``cap`` characters of) the text."""
     q = query_tokens(question)
     if not q:
         return F.lit(0)
-    body = F.left(F.coalesce(text, F.lit("")), F.lit(30000))
+    body = F.coalesce(text, F.lit(""))
+    body = body if cap is None else F.left(body, F.lit(cap))
     asked = F.array(*[F.lit(t) for t in q])
     hits = lambda arr: F.size(F.filter(asked, lambda t: F.array_contains(arr, t)))
     phrases = sum((F.contains(F.lower(body), F.lit(f"{a} {b}")).cast("int") for a, b in zip(q, q[1:])), F.lit(0))

@@ -31,7 +31,8 @@ def unify(sources: dict[str, DataFrame], ladder: dict[str, str] | None = None) -
     out = None
     for name, df in sources.items():
         d = df.withColumn("source", F.lit(name)) if "source" not in df.columns else df
-        d = d.withColumn("id", F.when(F.contains("id", F.lit(":")), F.col("id")).otherwise(F.concat(F.lit(f"{name}:"), F.col("id").cast("string"))))
+        d = d.withColumn("id", F.col("id").cast("string"))
+        d = d.withColumn("id", F.when(F.contains("id", F.lit(":")), F.col("id")).otherwise(F.concat(F.lit(f"{name}:"), F.col("id"))))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     level = scalars.provenance(F.col("source"), ladder)
     return out.withColumn("provenance", F.coalesce("provenance", level) if "provenance" in out.columns else level)

@@ -10,6 +10,7 @@ from archivolt.functions import dates, numeric, scalars, text
 from archivolt.operators import graph, joins, linkage, records, retrieval, spatial, topics
 from archivolt.operators.dualtree import haversine_km, sighting_points, usable, written_day
 from archivolt.session import cut_to_table, table
+from archivolt.sources import writers
 from archivolt.streaming import stateful
 
 QUERIES: dict = {}
@@ -69,10 +70,10 @@ def q_semi_join(spark, d):
 
 
 @query("""
-SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
 def q_memo_antijoin(spark, d):
     """Rows still to be done: keys that a cache does not know."""
-    cache = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("verdict", F.lit(True))
+    cache = t(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("verdict", F.lit(True))
     return joins.memo_split(t(spark, d, "customer").select("c_custkey"), cache, "c_custkey")[1]
 
 
@@ -619,7 +620,7 @@ SELECT id, arg_max(verification_status, (fetched_at, coalesce(verification_statu
 def q_upsert(spark, d):
     """The latest state of every sighting."""
     s = t(spark, d, "sightings").select("id", "fetched_at", F.coalesce("verification_status", F.lit("")).alias("verification_status"))
-    return s.groupBy("id").agg(F.max_by("verification_status", F.struct("fetched_at", "verification_status")).alias("verification_status"), F.max("fetched_at").alias("fetched_at"))
+    return writers.upsert(s.limit(0), s.withColumn("version", F.struct("fetched_at", "verification_status")), "id", "version").select("id", "verification_status", "fetched_at")
 
 
 # ---- graph ----
@@ -855,11 +856,11 @@ def q_split_sightings(spark, d):
 
 
 @query("""
-SELECT id, list_distinct(list_concat([coalesce(source, '')], [coalesce(shape, '')])) IS NOT NULL AS ok, count(*) AS n FROM sightings GROUP BY ALL""")
+SELECT id, CASE WHEN coalesce(source, '') = coalesce(shape, '') THEN coalesce(source, '') ELSE concat(coalesce(source, ''), '|', coalesce(shape, '')) END AS joined, count(*) AS n FROM sightings GROUP BY ALL""")
 def q_ordered_union(spark, d):
     """Lists joined without repeats, in order."""
     s = t(spark, d, "sightings").withColumn("u", F.array_distinct(F.concat(F.array(F.coalesce("source", F.lit(""))), F.array(F.coalesce("shape", F.lit(""))))))
-    return s.groupBy("id", F.col("u").isNotNull().alias("ok")).agg(F.count(F.lit(1)).alias("n"))
+    return s.groupBy("id", F.array_join("u", "|").alias("joined")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

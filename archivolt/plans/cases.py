@@ -468,8 +468,8 @@ l AS (SELECT id, lat, lng, CASE p WHEN 'month' THEN 30 WHEN 'year' THEN 365 WHEN
 r AS (SELECT DISTINCT id, location.lat AS lat, location.lng AS lng, {_DAY.format(v="occurred_at")} AS d FROM sightings WHERE lower(trim(occurred_at_precision)) IN ('day', 'minute') AND {_USABLE}),
 m AS (SELECT l.id, l.lat, l.lng, l.d, l.w, r.id AS other, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(r.lat) - radians(l.lat)) / 2), 2) + cos(radians(l.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lng - l.lng) / 2), 2)))) AS km
   FROM l JOIN r ON r.d BETWEEN l.d - l.w::INTEGER AND l.d + l.w::INTEGER WHERE l.lat BETWEEN -90 AND 90 AND l.lng BETWEEN -180 AND 180 AND NOT (l.lat = 0 AND l.lng = 0)),
-n AS (SELECT id, lat, lng, d, w, count(DISTINCT other) AS n, round(min(km0), 3) AS km FROM m WHERE round(km0, 3) <= 150 GROUP BY ALL)
-SELECT l.id AS left_id, max(coalesce(n.n, 0)) AS match_count, min(n.km) AS nearest_km FROM l LEFT JOIN n ON n.id = l.id AND n.d = l.d AND n.w = l.w AND n.lat = l.lat AND n.lng = l.lng GROUP BY l.id"""
+n AS (SELECT id, lat, lng, d, w, count(DISTINCT other) AS n, round(min(km), 3) AS nearest FROM m WHERE round(km, 3) <= 150 GROUP BY ALL)
+SELECT l.id AS left_id, max(coalesce(n.n, 0)) AS match_count, min(n.nearest) AS nearest_km FROM l LEFT JOIN n ON n.id = l.id AND n.d = l.d AND n.w = l.w AND n.lat = l.lat AND n.lng = l.lng GROUP BY l.id"""
 _SHAPE = " ".join(f"WHEN regexp_matches(x, {sql(p)}) THEN {sql(n)}" for n, p in text.SHAPES)
 ORACLE["q_shape_tag"] = f"""
 SELECT DISTINCT id, shape FROM (SELECT id, CASE {_SHAPE} END AS shape FROM (SELECT id, coalesce(blurb, '') || ' ' || concat_ws(' ', title, text) AS x FROM search_index)) WHERE shape IS NOT NULL"""

@@ -1,15 +1,20 @@
 """Text of scanned pages to continuous paragraphs.
 
-Two small models are counted over all texts: a lexicon (words with their
-counts) and the line templates of page furniture. Both keep only what is
-frequent *relative to the corpus*, so their size has a bound at any scale: at
-most 1 / LEAST_SHARE words and (lines a text) / TEMPLATE_SHARE templates.
-
-Each text is then de-lined: furniture is dropped, the rest becomes one stream
-of characters with line marks, and a Viterbi pass over the stream chooses words
-jointly with what may have happened to them: confused characters, a hyphen at a
-line end, a word split in two or two run together. A second dynamic programme
-chooses the paragraph boundaries.
+Two models are counted over all texts: a lexicon (every word that stands at
+least LEAST_COUNT times, at any size of the corpus, kept as a table) and the
+line templates of page furniture (by the lower confidence bound of how often
+they come back, so that a rare stamp of many texts stays one).
+
+Pages go by chunks of bounded size. A chunk is de-lined and read twice: the
+first reading knows the chunk's own words and notes every other form that the
+decoder would have liked to know - variants, halves, joined words; these are
+looked up in the lexicon by a join, and the second reading has them. So no task
+and not the driver ever holds the whole lexicon.
+
+De-lined, a text is one stream of characters with line marks, and a Viterbi pass
+over the stream chooses words jointly with what may have happened to them:
+confused characters, a hyphen at a line end, a word split in two or two run
+together. A second dynamic programme chooses the paragraph boundaries.
 """
 
 from __future__ import annotations
@@ -24,10 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivolt.functions.gazetteer import edits
-from archivolt.session import cut_to_table, table
+from archivolt.session import bounded_rows, cut_to_table, table
 
-LEAST_COUNT, LEAST_SHARE = 3, 5e-7
-TEMPLATE_SHARE = 2e-3
+#: A word is known from so many occurrences on, a template from so many texts on.
+LEAST_COUNT, LEAST_TEXTS = 3, 3
+#: Templates that may be furniture; more raise. They are the forms of the offices that wrote the pages, not of the pages.
+MOST_TEMPLATES = 100_000
+#: Characters of the pages of one chunk.
+CHUNK_CHARS = 4_000_000
 
 # What scanners commonly confuse, as read -> as printed.
 CONFUSIONS = (
@@ -48,32 +57,50 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+(?:['’][\p{L}]+)?"), F.lit(0))
 
 
-def lexicon(texts: DataFrame, text: str = "text") -> dict[str, int]:
-    """Word counts over all texts, words of at least LEAST_COUNT and LEAST_SHARE of all tokens.
-
-    So at most 1 / LEAST_SHARE = 2,000,000 words come back, whatever the input.
-    """
+def lexicon(texts: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """((w, n) of all words of at least LEAST_COUNT occurrences, occurrences of all words)."""
     counts = texts.select(F.explode(words_of(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     counts = cut_to_table(counts, "lexicon")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kept = counts.where(F.col("n") >= max(LEAST_COUNT, math.ceil(total * LEAST_SHARE)))
-    return {r["w"]: r["n"] for r in kept.toLocalIterator()}
+    return counts.where(F.col("n") >= LEAST_COUNT), counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def surely(hits: Column, n: Column, z: float = 3.0) -> Column:
+    """Lower end of Wilson's interval for a rate."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def templates(texts: DataFrame, key: str = "id", text: str = "text") -> list[str]:
     """Line templates (digits as 9) of page furniture, learnt from all texts.
 
-    A template is furniture if it is frequent, reads as no sentence, and comes
-    back within texts or stands at their very end.
+    A template is furniture if it reads as no sentence and, surely, comes back
+    within a quarter of its texts or stands at the very end of a third. More
+    texts make a template surer and never less frequent.
     """
     lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("k", "line"), F.size(F.split(text, "\n")).alias("of"))
     lines = lines.select(key, (F.col("k") / F.greatest(F.col("of") - 1, F.lit(1))).alias("at"), F.regexp_replace(F.trim(F.regexp_replace("line", r"\s+", " ")), r"\d+", "9").alias("t"))
     lines = lines.where((F.length("t") >= 4) & F.col("t").rlike(r"\p{L}") & ~F.col("t").rlike(r"[.;,:-]$|^\p{Ll}"))
     per = lines.groupBy("t", key).agg(F.count(F.lit(1)).alias("n"), F.avg("at").alias("at"))
-    all_texts = texts.count()
-    stats = per.groupBy("t").agg(F.count(F.lit(1)).alias("docs"), F.avg((F.col("n") > 1).cast("int")).alias("again"), F.avg((F.col("at") >= 0.9).cast("int")).alias("last"))
-    kept = stats.where((F.col("docs") >= max(3, math.ceil(all_texts * TEMPLATE_SHARE))) & ((F.col("again") >= 0.25) | (F.col("last") >= 0.3)))
-    return sorted(r["t"] for r in kept.select("t").toLocalIterator())
+    stats = per.groupBy("t").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("n") > 1).alias("again"), F.count_if(F.col("at") >= 0.9).alias("last"))
+    kept = stats.where((F.col("docs") >= LEAST_TEXTS) & ((surely(F.col("again"), F.col("docs")) >= 0.25) | (surely(F.col("last"), F.col("docs")) >= 0.3)))
+    return sorted(r["t"] for r in bounded_rows(kept.select("t"), MOST_TEMPLATES, "the list of page furniture"))
+
+
+class Lexicon:
+    """Words with their counts; with ``missed`` it notes the forms asked for that it does not have."""
+
+    def __init__(self, known: dict[str, int], total: int, noting: bool = False):
+        self.known, self.total = known, total
+        self.missed: set[str] | None = set() if noting else None
+
+    def get(self, w: str) -> int | None:
+        n = self.known.get(w)
+        if n is None and self.missed is not None:
+            self.missed.add(w)
+        return n
+
+    def __contains__(self, w: str) -> bool:
+        return self.get(w) is not None
 
 
 DIG = "[0-9lIiOo|sSzZ]"
@@ -99,9 +126,9 @@ class Plain(dict):
 class Reader:
     """Line classes, word decoding and paragraphs of one text at a time."""
 
-    def __init__(self, lex: dict[str, int], furniture: list[str]):
+    def __init__(self, lex: Lexicon, furniture: list[str]):
         self.lex = lex
-        self.logp = math.log(max(1, sum(lex.values())))
+        self.logp = math.log(max(1, lex.total))
         self.furniture = set(furniture)
         self.folded: dict[int, list[str]] = {}
         for t in furniture:
@@ -161,7 +188,8 @@ class Reader:
             return 0.0, w, -1
         best = (self.cost(low) + (8.0 if odd else 0.0), w, -1)
         frontier = [(0.0, low, -1)]
-        for _ in range(2):
+        # A known word may be one confusion away from a far more frequent one, an unknown word two.
+        for _ in range(1 if low in self.lex else 2):
             grown = []
             for c, x, first in frontier:
                 for a, b in CONFUSIONS:
@@ -176,9 +204,9 @@ class Reader:
                                 best = (total, fixed, at)
                         grown.append((now, fixed, at))
                         i = x.find(a, i + 1)
-            if best[2] >= 0 or len(grown) > 60:
+            if best[2] >= 0:
                 break
-            frontier = grown
+            frontier = list({x: (c, x, at) for c, x, at in reversed(grown)}.values())
         if best[2] < 0 and odd and letters >= 4:
             # An unknown word with a digit or sign between letters is misread, whatever it was.
             m = re.search(rf"(?<=[{LETTERS}])[{re.escape('0159@(†ﬁﬂ|62')}]+(?=[{LETTERS}])|^[0159@(†](?=[{LETTERS}]{{3}})|(?<=[{LETTERS}]{{3}})[0159@†]$", low)
@@ -264,11 +292,13 @@ class Reader:
             if w.isalpha() and c >= UNKNOWN and len(w) >= 5:
                 for j in range(2, len(w) - 1):
                     a, b = w[:j].lower(), w[j:].lower()
-                    if a in self.lex and b in self.lex:
+                    if (a in self.lex) & (b in self.lex):  # both are asked for
                         options.append((MERGE + self.cost(a) + self.cost(b), i + 1, ((w, w[:j] + " " + w[j:], -1),), "merge"))
             for cost, j, what, how in options:
                 if best[i] + cost < best[j]:
                     best[j], back[j] = best[i] + cost, (i, what, how)
+        if self.lex.missed is not None:
+            return [], set(), set()  # all has been asked for; what would come out is of no use yet
         path, j = [], n
         while j > 0:
             i, what, how = back[j]
@@ -334,26 +364,33 @@ class Reader:
         cuts = [0, *reversed(starts), len(lines)]
         return [" ".join(x.strip() for x in lines[a:b] if x.strip()) for a, b in zip(cuts, cuts[1:])]
 
-    def read(self, text: str, title: str | None, agency: str | None, whole: bool = True) -> tuple[str | None, list[tuple[int, str]]]:
-        """(repaired text if ``whole``, [(line number, kind)])."""
+    def delined(self, text: str, title: str | None, agency: str | None) -> tuple[list[int], list[tuple[int, str]], list[int]]:
+        """(numbers of furniture lines, (number, text) of the others that are not blank, what stood before each of these)."""
         squeeze = lambda s: " ".join(s.lower().split())
         t, a = squeeze(title or ""), squeeze(agency or "")
         heads = [h for h in (f"{a} / {t}" if a and t else "", t, a) if h]
-        kinds, kept, gaps, gap = [], [], [], 0
+        drop, kept, gaps, gap = [], [], [], 0
         for no, raw in enumerate(text.split("\n"), 1):
             s = " ".join(raw.split())
             if not s:
                 gap = max(gap, 1)
                 continue
             if self.is_furniture(s, heads):
-                kinds.append((no, "drop"))
+                drop.append(no)
                 gap = 2
                 continue
             kept.append((no, s))
             gaps.append(gap)
             gap = 0
+        return drop, kept, gaps
+
+    def read(self, text: str, title: str | None, agency: str | None, whole: bool = True) -> tuple[str | None, list[tuple[int, str]]]:
+        """(repaired text if ``whole``, [(line number, kind)])."""
+        return self.finish(*self.delined(text, title, agency), whole)
+
+    def finish(self, drop: list[int], kept: list[tuple[int, str]], gaps: list[int], whole: bool) -> tuple[str | None, list[tuple[int, str]]]:
         lines, split, misread = self.decode(kept)
-        kinds += [(no, "split") for no in split] + [(no, "misread") for no in misread]
+        kinds = [(no, "drop") for no in drop] + [(no, "split") for no in split] + [(no, "misread") for no in misread]
         if not whole:
             return None, sorted(kinds)
         if len(lines) != len(kept):
@@ -378,9 +415,10 @@ def _moved(between: str, after: str) -> str:
 
 
 REPAIRED = "id string, repaired string, lines array<struct<line_no:int,kind:string>>"
+DELINED = "chunk int, id string, drop array<int>, no array<int>, line array<string>, gap array<int>, asked array<string>"
 
 
-def repair_pages(records: DataFrame, whole: bool = True) -> DataFrame:
+def repair_pages(records: DataFrame, whole: bool = True, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(id, repaired, lines) of every record with text.
 
     ``records`` has id, text, title, agency; other columns are left out. Null
@@ -391,17 +429,38 @@ def repair_pages(records: DataFrame, whole: bool = True) -> DataFrame:
     """
     texts = records.select("id", "text", "title", "agency").where(F.length(F.trim("text")) > 0)
     spark = records.sparkSession
-    shared = spark.sparkContext.broadcast((lexicon(texts), templates(texts)))
-    if texts.rdd.getNumPartitions() < 2 * spark.sparkContext.defaultParallelism:
-        texts = texts.repartition(2 * spark.sparkContext.defaultParallelism)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*shared.value)
-        for pdf in batches:
-            got = [reader.read(t, ti if isinstance(ti, str) else None, a if isinstance(a, str) else None, whole) for t, ti, a in zip(pdf["text"], pdf["title"], pdf["agency"])]
-            yield pd.DataFrame({"id": pdf["id"], "repaired": [g[0] for g in got], "lines": [[{"line_no": n, "kind": k} for n, k in g[1]] for g in got]})
-
-    return texts.mapInPandas(run, REPAIRED)
+    lex, total = lexicon(texts)
+    furniture = spark.sparkContext.broadcast(templates(texts))
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    chunks = max(4 * spark.sparkContext.defaultParallelism, math.ceil(chars / chunk_chars))
+    pages = texts.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
+    own = pages.select("chunk", F.explode(F.array_distinct(words_of(F.col("text")))).alias("w")).distinct()
+    known = cut_to_table(own.join(lex, "w").select("chunk", "w", "n"), "known")
+
+    def note(keys: tuple, pdf: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        reader = Reader(Lexicon(dict(zip(words["w"], words["n"])), total, noting=True), furniture.value)
+        out = []
+        for i, t, title, agency in zip(pdf["id"], pdf["text"], pdf["title"], pdf["agency"]):
+            drop, kept, gaps = reader.delined(t, title if isinstance(title, str) else None, agency if isinstance(agency, str) else None)
+            reader.decode(kept)
+            out.append((keys[0], i, drop, [no for no, _ in kept], [s for _, s in kept], gaps, None))
+        if out:
+            out.append((keys[0], None, None, None, None, None, sorted(reader.lex.missed)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in DELINED.split(", ")])
+
+    # By number, so that chunks are not gathered into fewer tasks for their few bytes: the time goes into reading them.
+    spread = lambda df: df.repartition(chunks, "chunk").groupBy("chunk")
+    first = cut_to_table(spread(pages).cogroup(spread(known)).applyInPandas(note, DELINED), "delined")
+    asked = first.where(F.col("asked").isNotNull()).select("chunk", F.explode("asked").alias("w"))
+    known = known.unionByName(lex.join(asked, "w").select("chunk", "w", "n"))
+
+    def run(keys: tuple, pdf: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        reader = Reader(Lexicon(dict(zip(words["w"], words["n"])), total), furniture.value)
+        got = [reader.finish(list(drop), list(zip(no, line)), list(gap), whole) for drop, no, line, gap in zip(pdf["drop"], pdf["no"], pdf["line"], pdf["gap"])]
+        return pd.DataFrame({"id": pdf["id"], "repaired": [g[0] for g in got], "lines": [[{"line_no": n, "kind": k} for n, k in g[1]] for g in got]})
+
+    delined = first.where(F.col("asked").isNull()).drop("asked")
+    return spread(delined).cogroup(spread(known)).applyInPandas(run, REPAIRED)
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:

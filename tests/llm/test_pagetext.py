@@ -1,10 +1,15 @@
-from archivolt.llm.pagetext import Reader, lexicon, repair_pages, templates
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from archivolt.llm.pagetext import Lexicon, Reader, lexicon, repair_pages, templates
 
 LEX = {w: n for n, ws in ((900, "the of and was a in not"), (200, "noted clock number bright nurse page folder corner modern returned low level light window mirror contradict"), (40, "something ordinance thunderhead")) for w in ws.split()}
 
 
 def reader(furniture=()):
-    return Reader(LEX, list(furniture))
+    return Reader(Lexicon(LEX, sum(LEX.values())), list(furniture))
 
 
 def kinds(text, title=None, agency=None, furniture=()):
@@ -45,9 +50,74 @@ def test_models_and_edges(spark):
     rows += [("n", None, "t", "a", "x"), ("e", "", None, None, "x"), ("b", " \n ", None, None, "x"), ("long", "the nurse was noted " * 20_000, None, None, "x"), (None, "the clock", None, None, "x"), rows[0]]
     df = spark.createDataFrame(rows, "id string, text string, title string, agency string, line_no string")
     texts = df.where("length(trim(text)) > 0").distinct()
-    assert lexicon(texts)["nurse"] >= 12 and "Handle with care 9" in templates(texts)
+    words, total = lexicon(texts)
+    counts = {r["w"]: r["n"] for r in words.collect()}
+    assert counts["nurse"] >= 12 and min(counts.values()) >= 3 and total > sum(counts.values()) - 1 and "Handle with care 9" in templates(texts)
     got = {r["id"]: r for r in repair_pages(df).collect()}
     assert set(got) == {f"r{k}" for k in range(12)} | {"long", "b", None} - ({"b"} if "b" not in got else set())
     assert [(x["line_no"], x["kind"]) for x in got["r3"]["lines"]] == [(1, "drop"), (4, "drop"), (6, "drop"), (9, "drop")]
     assert got["long"]["lines"] == []
     assert repair_pages(df.limit(0)).count() == 0
+
+
+PIECES = st.sampled_from("the of nurse n0ted thun- derhead something some thing low- level brightcorner window liglit 10:08 Kestmere zzqx was ordi¬ nance - . 12mm".split())
+
+
+@given(st.lists(st.lists(PIECES, min_size=1, max_size=6), min_size=1, max_size=9))
+@settings(max_examples=150, deadline=None)
+def test_decoding_around_unknown_words_is_decoding_all(lines):
+    kept = [(k, " ".join(ws)) for k, ws in enumerate(lines, 1)]
+    r = reader()
+    assert r.decode(kept) == r._decode(kept)
+
+
+def test_what_is_asked_suffices():
+    """A reader that knows the page's own words asks for all that the full lexicon would have answered."""
+    text = "the nurse was n0ted in the thun-\nderhead and the ordi¬\nnance was not low-\nlevel. The liglit was sornething in the some thing brightcorner"
+    full = reader().read(text, None, None)
+    own = {w: n for w, n in LEX.items() if w in text.lower().split()}
+    noting = Reader(Lexicon(own, sum(LEX.values()), noting=True), [])
+    noting.read(text, None, None)
+    some = {**own, **{w: LEX[w] for w in noting.lex.missed if w in LEX}}
+    assert Reader(Lexicon(some, sum(LEX.values())), []).read(text, None, None) == full
+
+
+def planted(rnd, n):
+    """(id, page text, clean paragraphs) with hyphens, misreads, heads and page numbers put in."""
+    words = [w for w in LEX if len(w) > 2]
+    out = []
+    for k in range(n):
+        paragraphs, lines = [], []
+        for _ in range(3):
+            ws = [rnd.choice(words) for _ in range(30)]
+            ws[0] = ws[0].capitalize()
+            paragraphs.append(" ".join(ws) + ".")
+            line: list[str] = []
+            body = []
+            for w in paragraphs[-1].split():
+                if len(" ".join([*line, w])) > 50:
+                    if len(w) > 7 and w.isalpha() and rnd.random() < 0.5:
+                        line.append(w[:4] + "-")
+                        body.append(" ".join(line))
+                        line = [w[4:]]
+                        continue
+                    body.append(" ".join(line))
+                    line = []
+                line.append(w.replace("o", "0", 1) if rnd.random() < 0.05 and "o" in w[1:-1] and len(w) > 4 else w)
+            lines += [*body, " ".join(line), ""]
+            lines.insert(rnd.randrange(len(lines) - 3, len(lines) - 1), f"- {rnd.randrange(1, 99)} -")
+        out.append((f"p{k}", "\n".join([*lines, "STAMPED BY THE DESK"]), paragraphs))
+    return out
+
+
+def test_planted_pages_come_out_whole_at_any_size(spark):
+    rnd = random.Random(4)
+    pages = planted(rnd, 40)
+    schema = "id string, text string, title string, agency string"
+    small = {r["id"]: r for r in repair_pages(spark.createDataFrame([(i, t, None, None) for i, t, _ in pages], schema)).collect()}
+    same = sum(" ".join(small[i]["repaired"].split()) == " ".join(ps[k] for k in range(3)) for i, _, ps in pages)
+    cut = sum(small[i]["repaired"].split("\n\n") == ps for i, _, ps in pages)
+    assert same >= 0.95 * len(pages) and cut >= 0.9 * len(pages)
+    more = pages + [(f"x{i}", t, ps) for i, t, ps in planted(rnd, 400)]
+    large = {r["id"]: r for r in repair_pages(spark.createDataFrame([(i, t, None, None) for i, t, _ in more], schema), chunk_chars=20_000).collect()}
+    assert all(large[i]["repaired"] == small[i]["repaired"] and large[i]["lines"] == small[i]["lines"] for i, _, _ in pages)

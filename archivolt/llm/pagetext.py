@@ -130,9 +130,11 @@ class Reader:
         self.lex = lex
         self.logp = math.log(max(1, lex.total))
         self.furniture = set(furniture)
-        self.folded: dict[int, list[str]] = {}
-        for t in furniture:
-            self.folded.setdefault(len(t), []).append(t.lower())
+        # By length; with at most two edits one of three pieces of a template stands in the line as it is.
+        self.folded: dict[int, list[tuple[str, list[str]]]] = {}
+        for t in sorted({t.lower() for t in furniture}):
+            step = -(-len(t) // 3)
+            self.folded.setdefault(len(t), []).append((t, [t[i : i + step] for i in range(0, len(t), step)]))
         self.word = lru_cache(200_000)(self._word)
         self.stamp = lru_cache(50_000)(self._stamp)
         self.plain = Plain(self)
@@ -144,7 +146,7 @@ class Reader:
             return True
         low = t.lower()
         most = 2 if len(low) >= 8 else 1
-        return len(low) >= 6 and any(edits(low, f, most) <= most for n in range(len(low) - most, len(low) + most + 1) for f in self.folded.get(n, ()))
+        return len(low) >= 6 and any(any(p in low for p in pieces) and edits(low, f, most) <= most for n in range(len(low) - most, len(low) + most + 1) for f, pieces in self.folded.get(n, ()))
 
     def is_head(self, s: str, heads: list[str]) -> bool:
         low = s.lower()

@@ -35,12 +35,12 @@ PII = [
 ]
 CITATIONS = [
     ("incident", r"(?i)\bIncident\s*#?\s*([0-9]{1,3}[a-f]?(?:\s*,\s*[0-9]{1,3}[a-f]?)*)\b"),
-    ("case", r"(?i)\b(?:Blue Book\s+)?Case\s+(?:No\.?\s*|#\s*|Num\.?\s*)?([0-9]{1,6})\b"),
+    ("blue_book_case", r"(?i)\b(?:Blue Book\s+)?Case\s+(?:No\.?\s*|#\s*|Num\.?\s*)?([0-9]{1,6})\b"),
     ("mdr", r"(?i)\bMDR\s+([0-9]{2}-[0-9]{4})\b"),
-    ("cable", r"\b([A-Z]{4,12}\s+[0-9]{4,6})\b"),
+    ("cable_ref", r"\b([A-Z]{4,12}\s+[0-9]{4,6})\b"),
     ("foipa", r"(?i)\bFOIPA#?([0-9]+)\b"),
-    ("serial", r"(?i)\bSerial\s+([0-9]+)\b"),
-    ("section", r"(?i)\bSection\s+([0-9]+)\b"),
+    ("serial_ref", r"(?i)\bSerial\s+([0-9]+)\b"),
+    ("section_ref", r"(?i)\bSection\s+([0-9]+)\b"),
 ]
 REDACTION = r"(?i)\[REDACTED\]|\[DELETED\]|\[b\]\s*\(1\)|█+|x{4,}|_{4,}|\*{4,}|\(\([^)]*\)\)"
 HONORIFIC_REDACTION = r"(?i)(?:Mr\.|Mrs\.|Ms\.|Dr\.|Col\.|Capt\.|Gen\.|Lt\.|Sgt\.|Maj\.)\s*(?:█+|\[REDACTED\]|\[DELETED\]|x{4,}|_{4,}|\*{4,})"

@@ -876,7 +876,7 @@ def q_resolution_rate(spark, d):
     """Share of cited numbers that some document resolves."""
     docs = t(spark, d, "documents").where(F.col("text").isNotNull())
     m = retrieval.citation_mentions(docs, "doc_id", "text", text.CITATIONS)
-    lookup = m.where(F.col("kind") == "section").groupBy("kind", "token").agg(F.min("doc_id").alias("to_id"))
+    lookup = m.where(F.col("kind") == "section_ref").groupBy("kind", "token").agg(F.min("doc_id").alias("to_id"))
     return records.resolution_rate(*retrieval.citation_edges(m, lookup, "doc_id"))
 
 

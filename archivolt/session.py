@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,13 +53,16 @@ def shuffle_parts(spark: SparkSession) -> int:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a folder of our own is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only on one machine
+    (a ``local`` master) may it be unset, and a folder of our own is used;
+    anywhere else that raises, since a machine's own folder is not shared.
     """
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not shared:
-        shared = "/tmp/archivolt-checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = os.path.join(tempfile.gettempdir(), "archivolt-checkpoints")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared)
     return shared

@@ -198,8 +198,8 @@ def test_hybrid_rank(spark):
 def test_citations(spark):
     d = spark.createDataFrame([("r1", "Incident 106, 107a and again Incident #106; Serial 9"), ("r2", "MDR 12-3456 MDR 12-3456")], "id string, t string")
     m = retrieval.citation_mentions(d, "id", "t", text.CITATIONS)
-    assert rows(m, "id", "kind", "token") == [("r1", "incident", "106"), ("r1", "incident", "107A"), ("r1", "serial", "9"), ("r2", "mdr", "12-3456")]
-    look = spark.createDataFrame([("incident", "106", "r2"), ("incident", "107A", "r2"), ("serial", "9", "r1")], "kind string, token string, to_id string")
+    assert rows(m, "id", "kind", "token") == [("r1", "incident", "106"), ("r1", "incident", "107A"), ("r1", "serial_ref", "9"), ("r2", "mdr", "12-3456")]
+    look = spark.createDataFrame([("incident", "106", "r2"), ("incident", "107A", "r2"), ("serial_ref", "9", "r1")], "kind string, token string, to_id string")
     e, dang = retrieval.citation_edges(m, look)
     x = e.collect()
     assert [(r["from_id"], r["to_id"], r["count"], r["via"], len(r["contexts"])) for r in x] == [("r1", "r2", 2, "107A", 2)]

@@ -1,3 +1,4 @@
+import pytest
 import random
 from datetime import date
 
@@ -214,3 +215,12 @@ def test_publishing(spark):
     assert [r["id"] for r in f] == ["b"]
     n = retrieval.vault_note(spark.createDataFrame([("a", "T: x", "A", ["p"], "body", ["r"])], "id string, title string, agency string, tags array<string>, text string, related array<string>")).first()["note"]
     assert n.startswith('---\ntitle: "T: x"') and n.endswith("## Related\n- [[r]]")
+
+
+def test_components_that_do_not_settle_raise(spark):
+    from archivolt.operators.linkage import connected_components
+
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        connected_components(chain, rounds=1)
+    assert {r["component"] for r in connected_components(chain).collect()} == {0}

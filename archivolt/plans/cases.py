@@ -30,6 +30,8 @@ def sql(v) -> str:
         return str(v).lower()
     if isinstance(v, (list, tuple)):
         return "[" + ", ".join(map(sql, v)) + "]"
+    if isinstance(v, float):
+        return f"{v!r}::DOUBLE"
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
 
 
@@ -179,14 +181,14 @@ def q_last_owner(spark, d):
     return joins.last_owner(rows(spark, [("r1", ["a.pdf", "b.pdf"], 1), ("r2", ["a.pdf"], 2), ("r3", [], 3), ("r4", None, 4)], "id string, p array<string>, ord int"), "id", "p")
 
 
-@query("SELECT * FROM (VALUES ('own', 1.0, 2.0), ('Reno', 3.0, 4.0), ('ELKO', 5.0, 6.0), ('none', NULL, NULL)) AS x(name, lat, lng)")
+@query("SELECT * FROM (VALUES ('own', 1.0::DOUBLE, 2.0::DOUBLE), ('Reno', 3.0, 4.0), ('ELKO', 5.0, 6.0), ('none', NULL, NULL)) AS x(name, lat, lng)")
 def q_geo_supplement(spark, d):
     """Own coordinates, else the cached ones of the name, else of the name in any case."""
     df = rows(spark, [("own", 1.0, 2.0), ("Reno", None, None), ("ELKO", None, 7.0), ("none", None, None)], "name string, lat double, lng double")
     return joins.geo_supplement(df, "name", rows(spark, [("Reno", 3.0, 4.0), ("Elko", 5.0, 6.0), ("none", None, None)], "name string, lat double, lng double")).select("name", "lat", "lng")
 
 
-@query("SELECT * FROM (VALUES ('Reno', 3.0, true), ('Unknown', NULL, false), ('lost', NULL, true), ('new', NULL, false)) AS x(name, geo_lat, cached)")
+@query("SELECT * FROM (VALUES ('Reno', 3.0::DOUBLE, true), ('Unknown', NULL, false), ('lost', NULL, true), ('new', NULL, false)) AS x(name, geo_lat, cached)")
 def q_geocode(spark, d):
     """Cached places, cached misses and skipped names."""
     df = rows(spark, [("Reno",), ("Unknown",), ("lost",), ("new",)], "name string")
@@ -244,7 +246,7 @@ def q_approved_claims(spark, d):
     return records.approved_claims(df).select("kind", "entity_id", "run_id", "claim")
 
 
-@query("SELECT * FROM (VALUES ('x', 0.01)) AS t(cell, p)")
+@query("SELECT * FROM (VALUES ('x', 0.01::DOUBLE)) AS t(cell, p)")
 def q_significant(spark, d):
     return records.significant(rows(spark, [("x", 0.01, 3), ("y", 0.05, 3), ("z", 0.01, 0), ("w", None, 1)], "cell string, p double, n int")).select("cell", "p")
 

@@ -80,7 +80,8 @@ def test_other_dates(spark):
 
 def test_tagging(spark):
     assert one(spark, text.detect_shape(F.col("a"), F.col("b")), a="a flying saucer", b="an orb") == "disc"
-    assert one(spark, text.detect_shape(F.col("a"), F.col("b")), a="x", b="y" * 16000 + " orb") is None
+    assert one(spark, text.detect_shape(F.col("a"), F.col("b")), a="x", b="y" * 16000 + " orb") == "sphere"
+    assert one(spark, text.detect_shape(F.col("a"), F.col("b"), 16000), a="x", b="y" * 16000 + " orb") is None
     hit = one(spark, text.keyword_hits(F.col("s"), ["zz", "radar", "^a"]), s="a radar")
     assert [(h["kw"], h["ctx"]) for h in hit] == [("radar", "a radar"), ("a", "a radar")]
     assert len(one(spark, text.keyword_hits(F.col("s"), list("abcdefghi")), s="abcdefghi")) == 8

@@ -224,3 +224,41 @@ def test_components_that_do_not_settle_raise(spark):
     with pytest.raises(RuntimeError):
         connected_components(chain, rounds=1)
     assert {r["component"] for r in connected_components(chain).collect()} == {0}
+
+
+def test_scored_pairs_are_all_pairs(spark):
+    """Every pair that reaches the threshold, by comparing all with all; days are few, so that rows meet at every limit."""
+    import random
+
+    from archivolt.functions.numeric import date_score, geo_score, match_probability
+    from archivolt.functions.text import location_similarity, title_similarity
+    from archivolt.operators.dualtree import haversine_km
+
+    rnd = random.Random(7)
+    spots = [(40.0, -80.0), (40.3, -80.2), (43.9, -80.0), (89.9, 10.0), (89.9, -170.0), (95.0, 10.0), (0.0, 179.9), (0.0, -179.9), (None, None), (41.0, None)]
+    rows_ = []
+    for k in range(160):
+        lat, lng = rnd.choice(spots)
+        rows_.append((f"r{k:03}", rnd.choice(["x", "y", None]), date.fromordinal(date(1999, 10, 1).toordinal() + rnd.choice([0, 6, 7, 8, 30, 31, 37, 60, 90, 91, 97, 120, 200, 365])), rnd.choice(["Holt, Ohio", "Holt AFB, Ohio", "Yarrow", None]), rnd.choice(["Report, Holt", "Report Holt disc", "cable", None]), lat, lng))
+    df = spark.createDataFrame(rows_, "record_id string, source string, incident_date date, incident_location string, title string, lat double, lng double")
+    a, b = [df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns]) for s in "ab"]
+    p = a.crossJoin(b).where((F.col("a_record_id") < F.col("b_record_id")) & ~F.col("a_source").eqNullSafe(F.col("b_source")))
+    p = p.withColumn("d", date_score(F.datediff("a_incident_date", "b_incident_date"))).withColumn("g", geo_score(haversine_km(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))))
+    p = p.withColumn("s", location_similarity(F.col("a_incident_location"), F.col("b_incident_location"))).withColumn("t", title_similarity("a_title", "b_title"))
+    p = p.withColumn("score", match_probability(F.col("d"), F.col("g"), F.col("s"), F.col("t"))).withColumn("years", F.abs(F.year("a_incident_date") - F.year("b_incident_date"))).select("a_record_id", "b_record_id", "score", "years").collect()
+    for threshold, years in ((0.65, 0), (0.65, 1), (0.4, 1), (0.9, 0)):
+        want = {(r["a_record_id"], r["b_record_id"], r["score"]) for r in p if r["score"] >= threshold and r["years"] <= years}
+        got = linkage.score_pairs(df, threshold, years).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert linkage.score_pairs(df, 1.5).count() == 0
+
+
+def test_pairs_meet_by_day_and_place(spark, monkeypatch):
+    """2,000 entries of one year, months apart and far from each other: hardly any pair is looked at (by years all 2 million were)."""
+    df = spark.range(2000).selectExpr("'r' || id AS record_id", "'s' || id AS source", "date_add(DATE '2001-01-01', CAST(id % 36 * 10 AS INT)) AS incident_date", "'Holt' AS incident_location", "'report' AS title", "CAST(id % 120 - 60 AS DOUBLE) AS lat", "CAST(id % 300 AS DOUBLE) AS lng")
+    real = linkage.date_score
+    met = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: met.add(1) or x, "double")
+    monkeypatch.setattr(linkage, "date_score", lambda c: count(real(c)))
+    linkage.score_pairs(df).count()
+    assert 0 < met.value < 700_000

@@ -262,3 +262,41 @@ def test_pairs_meet_by_day_and_place(spark, monkeypatch):
     monkeypatch.setattr(linkage, "date_score", lambda c: count(real(c)))
     linkage.score_pairs(df).count()
     assert 0 < met.value < 700_000
+
+
+def test_power_iteration_leaves_one_table(spark, monkeypatch):
+    """However many rounds, one vector is on disk; a table each round gives the same vector."""
+    from archivolt import session
+
+    e = spark.createDataFrame([(f"s{k % 7}", f"p{k % 11}", 1.0 + k % 3) for k in range(60)], "src string, dst string, weight double").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    got = []
+    for n in (10_000_000, 1):
+        monkeypatch.setattr(graph, "ROUND_ROWS", n)
+        before = len([p for p in session._STAGES if "/eigen-" in p])
+        got.append({r["id"]: round(r["score"], 7) for r in graph.eigenvector(e).collect()})
+        assert len([p for p in session._STAGES if "/eigen-" in p]) == before + 1
+    assert got[0] == got[1] and len(got[0]) == 18
+
+
+def test_top_k_reads_no_frequent_lists(spark, monkeypatch):
+    """The same rows as all products; a term of every row is not read where rarer ones settle the best rows."""
+    import random
+
+    rnd = random.Random(3)
+    docs = [(f"d{k:03}", ["all", f"g{k % 9}", f"p{k // 8}", *rnd.choices("abcdef", k=rnd.randrange(3))]) for k in range(240)]
+    w = joins.tfidf(spark.createDataFrame(docs, "id string, t array<string>"), "id", F.col("t"), (1, 1))
+    u = {}
+    for r in w.collect():
+        u.setdefault(r["id"], {})[r["term"]] = r["w"]
+    want = set()
+    for a in u:
+        s = sorted((-round(sum(x * u[b].get(t, 0.0) for t, x in u[a].items()), 3), b) for b in u if b != a)
+        want |= {(a, b, -x, n + 1) for n, (x, b) in enumerate(s[:6]) if -x >= 0.1}
+    for probe in (0, 30, 100_000):
+        assert {tuple(r) for r in joins.similarity_topk(w, block=50, probe=probe).collect()} == want
+    read = []
+    real = joins.cut_to_table
+    monkeypatch.setattr(joins, "cut_to_table", lambda df, label="stage": read.append((label, t := real(df, label))) or t)
+    joins.similarity_topk(w, probe=30)
+    asked = [t for label, t in read if label == "asked"][-1]
+    assert asked.where("term = 'all'").count() == 0 and asked.count() > 0

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivolt.session import cut_to_table
+from archivolt.session import cut_to_table, drop_table
 
 
 def merge_edges(edges: DataFrame, how: str = "sum", cap: float | None = None) -> DataFrame:
@@ -86,33 +86,47 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return lab
 
 
+#: Rows of edges, both ways, that the rounds between two tables of the power iteration shuffle at most (one round at least).
+ROUND_ROWS = 10_000_000
+
+
 def eigenvector(edges: DataFrame, rounds: int = 500, tol: float = 1e-9) -> DataFrame:
     """(id, score) by power iteration on A + sI, unit length.
 
     The shift s, the mean strength, keeps bipartite graphs from swinging and
     does not change the vector. Every five rounds the vector is scaled; it has
     settled when that moved it by at most ``tol`` in length. Warns if ``rounds``
-    end first.
+    end first. Nodes are numbered, tables of past rounds are dropped and large
+    graphs write one each round, so disk does not grow with the rounds.
     """
-    e = cut_to_table(both_ways(edges), "edges")
-    v = e.select(F.col("src").alias("id")).distinct().withColumn("x", F.lit(1.0))
+    names = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
+    names = cut_to_table(names.withColumn("k", F.monotonically_increasing_id()), "nodes")
+    end = lambda c: names.select(F.col("id").alias(c), F.col("k").alias(f"{c}_k"))
+    numbered = edges.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_k").alias("src"), F.col("dst_k").alias("dst"), "weight")
+    e = cut_to_table(both_ways(cut_to_table(numbered, "edges")), "edges")
+    v = names.select(F.col("k").alias("id"), F.lit(1.0).alias("x"))
     shift = float(e.groupBy("src").agg(F.sum("weight").alias("s")).agg(F.avg("s")).first()[0] or 1.0)
-    old, k, moved = v, 0, None
+    every = max(1, min(5, ROUND_ROWS // max(1, e.count())))
+    old, k, moved, held = v, 0, None, []
     while k < rounds:
         steps = min(5, rounds - k)
-        for _ in range(steps):
+        for n in range(1, steps + 1):
             v = e.join(v.select(F.col("id").alias("dst"), "x"), "dst").select(F.col("src").alias("id"), (F.col("weight") * F.col("x")).alias("x")).union(v.select("id", (shift * F.col("x")).alias("x"))).groupBy("id").agg(F.sum("x").alias("x"))
+            if n == steps or n % every == 0:
+                v = cut_to_table(v, "eigen")
+                held.append(v)
         k += steps
-        y = cut_to_table(v, "eigen")
-        n = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-        v = y.withColumn("x", F.col("x") / n)
+        n = v.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
+        v = v.withColumn("x", F.col("x") / n)
         moved = v.join(old.withColumnRenamed("x", "o"), "id").agg(F.sqrt(F.sum((F.col("x") - F.col("o")) * (F.col("x") - F.col("o"))))).first()[0]
+        while len(held) > 1:
+            drop_table(held.pop(0))
         if moved is None or moved <= tol:
             break
         old = v
     else:
         warnings.warn(f"eigenvector: not settled after {rounds} rounds, last change {moved}", stacklevel=2)
-    return v.select("id", F.col("x").alias("score"))
+    return v.withColumnRenamed("id", "k").join(names, "k").select("id", F.col("x").alias("score"))
 
 
 def betweenness_top(edges: DataFrame, top: int = 100) -> DataFrame:

@@ -6,10 +6,10 @@ line templates of page furniture (by the lower confidence bound of how often
 they come back, so that a rare stamp of many texts stays one).
 
 Pages go by chunks of bounded size. A chunk is de-lined and read twice: the
-first reading knows the chunk's own words and notes every other form that the
-decoder would have liked to know - variants, halves, joined words; these are
-looked up in the lexicon by a join, and the second reading has them. So no task
-and not the driver ever holds the whole lexicon.
+first reading knows the COMMON most frequent words and notes every other form
+that the decoder would have liked to know - rarer words, variants, halves, joined
+words; these are looked up in the lexicon by a join, and the second reading has
+them. So no task and not the driver ever holds the whole lexicon.
 
 De-lined, a text is one stream of characters with line marks, and a Viterbi pass
 over the stream chooses words jointly with what may have happened to them:
@@ -21,12 +21,18 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import category
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from archivolt.functions.gazetteer import edits
 from archivolt.session import bounded_rows, cut_to_table, table
@@ -35,6 +41,10 @@ from archivolt.session import bounded_rows, cut_to_table, table
 LEAST_COUNT, LEAST_TEXTS = 3, 3
 #: Templates that may be furniture; more raise. They are the forms of the offices that wrote the pages, not of the pages.
 MOST_TEMPLATES = 100_000
+#: The most frequent words, which every task has at hand; all others are looked up.
+COMMON = 100_000
+#: Words that a task counts before it tells them.
+MOST_HELD = 200_000
 #: Characters of the pages of one chunk.
 CHUNK_CHARS = 4_000_000
 
@@ -52,14 +62,31 @@ WORD = re.compile(rf"[{LETTERS}{ODD}]+(?:['’][{LETTERS}]+)?")
 REAL = re.compile(rf"[{LETTERS}]")
 
 
-def words_of(text: Column) -> Column:
-    """Lower-case letter runs of a text, for the lexicon (JVM side)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+(?:['’][\p{L}]+)?"), F.lit(0))
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (runs of letters, an apostrophe inside) in lower case with their counts, told whenever MOST_HELD are held."""
+    words, held = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?"), Counter()
+
+    def told() -> pa.RecordBatch:
+        return pa.record_batch({"w": pa.array(held.keys(), pa.string()), "n": pa.array(held.values(), pa.int64())})
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if text:
+                low = text.lower()
+                found = words.findall(low)
+                if not low.isascii() and not "".join(found).replace("'", "").replace("’", "").isalpha():
+                    # fractions and the like count as parts of words and are no letters
+                    found = words.findall("".join(c if c.isalpha() or not c.isnumeric() else " " for c in low))
+                held.update(found)
+            if len(held) > MOST_HELD:
+                yield told()
+                held.clear()
+    yield told()
 
 
 def lexicon(texts: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     """((w, n) of all words of at least LEAST_COUNT occurrences, occurrences of all words)."""
-    counts = texts.select(F.explode(words_of(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.select(text).mapInArrow(count_words, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     counts = cut_to_table(counts, "lexicon")
     return counts.where(F.col("n") >= LEAST_COUNT), counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
@@ -70,6 +97,34 @@ def surely(hits: Column, n: Column, z: float = 3.0) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+#: White space at which a template has one space; where a sentence or a list may go on in the next line.
+SPACES = " \t\n\x0b\f\r"
+GOES_ON = re.compile("[.;,:-][\u0085\u2028\u2029]?\\Z")
+
+
+def template_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, place in the text from 0 to 1, template) of the lines of (key, text) that may be furniture."""
+    spaces, digits = re.compile(f"[{SPACES}]+"), re.compile("[0-9]+")
+    for batch in batches:
+        keys, ats, out = [], [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if text is None:
+                continue
+            ls = text.split("\n")
+            last = max(len(ls) - 1, 1)
+            for k, line in enumerate(ls):
+                s = line.strip(SPACES)
+                # Most lines fall by their ends; only the others are worth the making of a template.
+                if not s or s[-1] in ".;,:-" or "a" <= s[0] <= "z" or category(s[0]) == "Ll" or not any(map(str.isalpha, s)):
+                    continue
+                t = digits.sub("9", spaces.sub(" ", s))
+                if len(t) >= 4 and not GOES_ON.search(t):
+                    keys.append(key)
+                    ats.append(k / last)
+                    out.append(t)
+        yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.array(ats, pa.float64()), pa.array(out, pa.string())], [batch.schema.field(0).name, "at", "t"])
+
+
 def templates(texts: DataFrame, key: str = "id", text: str = "text") -> list[str]:
     """Line templates (digits as 9) of page furniture, learnt from all texts.
 
@@ -77,9 +132,8 @@ def templates(texts: DataFrame, key: str = "id", text: str = "text") -> list[str
     within a quarter of its texts or stands at the very end of a third. More
     texts make a template surer and never less frequent.
     """
-    lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("k", "line"), F.size(F.split(text, "\n")).alias("of"))
-    lines = lines.select(key, (F.col("k") / F.greatest(F.col("of") - 1, F.lit(1))).alias("at"), F.regexp_replace(F.trim(F.regexp_replace("line", r"\s+", " ")), r"\d+", "9").alias("t"))
-    lines = lines.where((F.length("t") >= 4) & F.col("t").rlike(r"\p{L}") & ~F.col("t").rlike(r"[.;,:-]$|^\p{Ll}"))
+    kind = texts.schema[key].dataType.simpleString()
+    lines = texts.select(key, text).mapInArrow(template_lines, f"`{key}` {kind}, at double, t string")
     per = lines.groupBy("t", key).agg(F.count(F.lit(1)).alias("n"), F.avg("at").alias("at"))
     stats = per.groupBy("t").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("n") > 1).alias("again"), F.count_if(F.col("at") >= 0.9).alias("last"))
     kept = stats.where((F.col("docs") >= LEAST_TEXTS) & ((surely(F.col("again"), F.col("docs")) >= 0.25) | (surely(F.col("last"), F.col("docs")) >= 0.3)))
@@ -106,6 +160,58 @@ class Lexicon:
 DIG = "[0-9lIiOo|sSzZ]"
 PAGE_NO = re.compile(rf"(?:[-—–~]\s*{DIG}{{1,5}}\s*[-—–~]|[\[(]\s*{DIG}{{1,5}}\s*[\])]|[0-9lIO|]{{1,5}}|[Pp][.,]?\s?{DIG}{{1,5}})")
 PAGE_WORD = re.compile(rf"(\S{{3,5}}?)\.?\s?{DIG}{{1,5}}(?:\s*(?:of|/|0f|o1)\s*{DIG}{{1,5}})?", re.I)
+#: Neither of the two matches more characters of a line with single spaces.
+LONGEST_NO = 21
+DIGITS = re.compile(r"\d+")
+
+
+class Stamps:
+    """Which templates a line may be with at most two edits, at a cost that does not grow with their number.
+
+    At most two edits leave one of three pieces of a template as it is, moved by
+    no more than the letters put in or left out before it; so lines are looked
+    up by what stands where a piece would. A swap over the seam of two pieces
+    changes both, so the pieces of the template so swapped are kept as well.
+    """
+
+    def __init__(self, furniture: list[str]):
+        self.held: dict[int, dict[tuple[int, int], dict[str, list[str]]]] = {}  # length -> (start, end) -> piece -> templates
+        for t in sorted({t.lower() for t in furniture}):
+            step = -(-len(t) // 3)
+            seams = [k for k in (step, 2 * step) if k < len(t)]
+            at = self.held.setdefault(len(t), {})
+            for form in (t, *(t[: k - 1] + t[k] + t[k - 1] + t[k + 1 :] for k in seams)):
+                for a in range(0, len(t), step):
+                    same = at.setdefault((a, min(a + step, len(t))), {}).setdefault(form[a : a + step], [])
+                    if same[-1:] != [t]:
+                        same.append(t)
+        self.plans: dict[tuple[int, int], list[tuple[int, int, dict[str, list[str]]]]] = {}
+
+    def plan(self, length: int, most: int) -> list[tuple[int, int, dict[str, list[str]]]]:
+        """(start, end, templates by the piece that stands there) for lines of a length."""
+        found: dict[tuple[int, int], dict[str, list[str]]] = {}
+        for n in range(length - most, length + most + 1):
+            more, less = (most + length - n) // 2, (most - length + n) // 2
+            for (a, b), pieces in self.held.get(n, {}).items():
+                for s in range(max(-less, -a), min(more, length - b) + 1):
+                    there = found.setdefault((a + s, b + s), {})
+                    for piece, ts in pieces.items():
+                        there.setdefault(piece, []).extend(ts)
+        return [(a, b, there) for (a, b), there in found.items()]
+
+    def near(self, low: str, most: int) -> bool:
+        key = (len(low), most)
+        plan = self.plans.get(key)
+        if plan is None:
+            plan = self.plans[key] = self.plan(*key)
+        tried = set()
+        for a, b, pieces in plan:
+            for t in pieces.get(low[a:b], ()):
+                if t not in tried:
+                    if edits(low, t, most) <= most:
+                        return True
+                    tried.add(t)
+        return False
 
 
 class Plain(dict):
@@ -123,6 +229,20 @@ class Plain(dict):
         return ok
 
 
+class Sure(dict):
+    """word -> whether it is plain and, if it is all letters, in the lexicon: between two such words nothing is to be decided."""
+
+    def __init__(self, reader: "Reader"):
+        super().__init__()
+        self.reader = reader
+
+    def __missing__(self, w: str) -> bool:
+        if len(self) > 400_000:
+            self.clear()
+        self[w] = ok = self.reader.plain[w] and (not w.isalpha() or w.lower() in self.reader.lex)
+        return ok
+
+
 class Reader:
     """Line classes, word decoding and paragraphs of one text at a time."""
 
@@ -130,14 +250,11 @@ class Reader:
         self.lex = lex
         self.logp = math.log(max(1, lex.total))
         self.furniture = set(furniture)
-        # By length; with at most two edits one of three pieces of a template stands in the line as it is.
-        self.folded: dict[int, list[tuple[str, list[str]]]] = {}
-        for t in sorted({t.lower() for t in furniture}):
-            step = -(-len(t) // 3)
-            self.folded.setdefault(len(t), []).append((t, [t[i : i + step] for i in range(0, len(t), step)]))
+        self.stamps = Stamps(furniture)
         self.word = lru_cache(200_000)(self._word)
         self.stamp = lru_cache(50_000)(self._stamp)
         self.plain = Plain(self)
+        self.sure = Sure(self)
 
     # ---- lines ----
 
@@ -145,35 +262,40 @@ class Reader:
         if t in self.furniture:
             return True
         low = t.lower()
-        most = 2 if len(low) >= 8 else 1
-        return len(low) >= 6 and any(any(p in low for p in pieces) and edits(low, f, most) <= most for n in range(len(low) - most, len(low) + most + 1) for f, pieces in self.folded.get(n, ()))
+        return len(low) >= 6 and self.stamps.near(low, 2 if len(low) >= 8 else 1)
 
     def is_head(self, s: str, heads: list[str]) -> bool:
         low = s.lower()
         if len(low) < 8:
-            return any(low == h for h in heads)
+            return low in heads
         most = 1 + len(low) // 12
+        heads = [h for h in heads if len(h) >= len(low) - most]
+        if not heads:
+            return False
         # with at most so many edits, one of one more pieces of the line stands in the head as it is
         step = -(-len(low) // (most + 1))
-        pieces = [low[i : i + step] for i in range(0, len(low), step)]
         for h in heads:
-            if not any(p in h for p in pieces):
+            for i in range(0, len(low), step):
+                if low[i : i + step] in h:
+                    break
+            else:
                 continue
             part = h[: len(low)]
-            if len(part) >= len(low) - most and (sum(a != b for a, b in zip(low, part)) + len(low) - len(part) <= most or edits(low, part, most) <= most):
+            if sum(a != b for a, b in zip(low, part)) + len(low) - len(part) <= most or edits(low, part, most) <= most:
                 return True
         return False
 
     def is_furniture(self, s: str, heads: list[str]) -> bool:
         """A stripped, non-blank line that is no part of the running text."""
-        if not any(c.isalnum() for c in s):
-            return True
-        if PAGE_NO.fullmatch(s):
-            return any(c.isdigit() or c in "lI|" for c in s)
-        m = PAGE_WORD.fullmatch(s)
-        if m and edits(m[1].lower(), "page", 1) <= 1:
+        if not s[0].isalnum() and not any(map(str.isalnum, s)):
             return True
-        return self.stamp(re.sub(r"\d+", "9", s)) or self.is_head(s, heads)
+        if len(s) <= LONGEST_NO:
+            if PAGE_NO.fullmatch(s):
+                return any(c.isdigit() or c in "lI|" for c in s)
+            m = PAGE_WORD.fullmatch(s)
+            if m and edits(m[1].lower(), "page", 1) <= 1:
+                return True
+        return self.stamp(DIGITS.sub("9", s)) or self.is_head(s, heads)
 
     # ---- words ----
 
@@ -238,47 +360,59 @@ class Reader:
             j = i + 1
             while j < n and not (calm[j] and calm[j - 1] and (j == n - 1 or calm[j + 1])):
                 j += 1
-            got, s, m = self._decode(lines[i:j])
+            # Of a calm line at either end only the word that touches the next line has more than one way.
+            ends = [calm[k] and all(map(self.sure.__getitem__, words[k])) for k in (i, j - 1)]
+            got, s, m = self._decode(lines[i:j], *ends)
             out += got
             split |= s
             misread |= m
             i = j
         return out, split, misread
 
-    def _decode(self, lines: list[tuple[int, str]]) -> tuple[list[str], set[int], set[int]]:
+    def _decode(self, lines: list[tuple[int, str]], from_last: bool = False, to_first: bool = False) -> tuple[list[str], set[int], set[int]]:
+        """``decode`` of all lines, of the first from its last word on, of the last up to its first word."""
         stream: list[tuple[int, str, str]] = []  # (index into lines, word, what follows it)
         heads: list[str] = []
+        last, word, after = 0, None, ""  # the word before, which is put down when all that follows it is known
+        tail = ""
         for k, (_, s) in enumerate(lines):
             at = 0
-            for m in WORD.finditer(s):
-                if stream and at == 0:
-                    gap = s[: m.start()]
-                    i, w, after = stream[-1]
-                    stream[-1] = (i, w, after + "\n" + gap)
-                elif stream:
-                    i, w, after = stream[-1]
-                    stream[-1] = (i, w, after + s[at : m.start()])
+            matches = WORD.finditer(s)
+            if from_last and k == 0:
+                matches = list(matches)[-1:]
+            elif to_first and k == len(lines) - 1:
+                first, second = next(matches), next(matches, None)
+                matches = [first]
+                if second:
+                    s, tail = s[: second.start()], s[second.start() :]
+            for m in matches:
+                start, end = m.span()
+                if word is not None:
+                    stream.append((last, word, after + ("\n" if at == 0 else "") + s[at:start]))
                 else:
-                    heads.append(s[: m.start()])
-                stream.append((k, m[0], ""))
-                at = m.end()
-            if stream and at:
-                i, w, after = stream[-1]
-                stream[-1] = (i, w, after + s[at:].rstrip())
-            elif stream:
-                i, w, after = stream[-1]
-                stream[-1] = (i, w, after + "\n" + s)
-            else:
+                    heads.append(s[:start])
+                last, word, after, at = k, m[0], "", end
+            if word is None:
                 heads.append(s + "\n")
+            elif at:
+                after = s[at:] if tail else s[at:].rstrip()
+            else:
+                after += "\n" + s
+        if word is not None:
+            stream.append((last, word, after))
         n = len(stream)
         inf = float("inf")
         best, back = [inf] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
+        sure = [self.sure[w] for _, w, _ in stream]
+        sure.append(True)
         for i in range(n):
-            if best[i] == inf:
-                continue
             k, w, after = stream[i]
             c, fixed, at = self.word(w)
+            if sure[i] and sure[i + 1] and ("\n" not in after or after[0] == "\n"):  # one way on
+                if best[i] + c < best[i + 1]:
+                    best[i + 1], back[i + 1] = best[i] + c, (i, ((w, fixed, at),), None)
+                continue
             ends_in_hyphen = "\n" in after and after.split("\n")[0] and after.split("\n")[0][0] in HYPHENS and after[1:].strip() == ""
             options = [(c + (9.0 if ends_in_hyphen else 0.0), i + 1, ((w, fixed, at),), None)]
             if i + 1 < n:
@@ -314,7 +448,7 @@ class Reader:
                 _, fixed, at = what[0]
                 if at >= 0:
                     misread.add(no)
-                out.append(_cased(w, fixed) + after)
+                out.append((w if fixed == w else _cased(w, fixed)) + after)
                 continue
             k2, w2, after2 = stream[i + 1]
             no2 = lines[k2][0]
@@ -330,7 +464,7 @@ class Reader:
                 out.append(_cased(w + w2, fixed) + _moved(after, after2))
             if k2 != k:
                 split.add(no)
-        return "".join(out).split("\n"), split, misread
+        return ("".join(out) + tail).split("\n"), split, misread
 
     # ---- paragraphs ----
 
@@ -417,10 +551,19 @@ def _moved(between: str, after: str) -> str:
 
 
 REPAIRED = "id string, repaired string, lines array<struct<line_no:int,kind:string>>"
-DELINED = "chunk int, id string, drop array<int>, no array<int>, line array<string>, gap array<int>, asked array<string>"
+#: Lines are joined by the line mark, which none of them holds; numbers are packed.
+DELINED = "chunk int, id string, drop binary, no binary, gap binary, lines string, asked array<string>"
 
 
-def repair_pages(records: DataFrame, whole: bool = True, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def packed(numbers: list[int]) -> bytes:
+    return array("i", numbers).tobytes()
+
+
+def unpacked(b: bytes) -> list[int]:
+    return array("i", b).tolist()
+
+
+def repair_pages(records: DataFrame, whole: bool = True, chunk_chars: int = CHUNK_CHARS, common: int = COMMON) -> DataFrame:
     """(id, repaired, lines) of every record with text.
 
     ``records`` has id, text, title, agency; other columns are left out. Null
@@ -436,33 +579,34 @@ def repair_pages(records: DataFrame, whole: bool = True, chunk_chars: int = CHUN
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     chunks = max(4 * spark.sparkContext.defaultParallelism, math.ceil(chars / chunk_chars))
     pages = texts.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    own = pages.select("chunk", F.explode(F.array_distinct(words_of(F.col("text")))).alias("w")).distinct()
-    known = cut_to_table(own.join(lex, "w").select("chunk", "w", "n"), "known")
+    known = spark.sparkContext.broadcast({r["w"]: r["n"] for r in lex.orderBy(F.desc("n"), "w").limit(common).collect()})
+
+    delined_schema, repaired_schema = (to_arrow_schema(StructType.fromDDL(x)) for x in (DELINED, REPAIRED))
 
-    def note(keys: tuple, pdf: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        reader = Reader(Lexicon(dict(zip(words["w"], words["n"])), total, noting=True), furniture.value)
+    def note(keys: tuple, own: pa.Table) -> pa.Table:
+        reader, chunk = Reader(Lexicon(known.value, total, noting=True), furniture.value), keys[0].as_py()
         out = []
-        for i, t, title, agency in zip(pdf["id"], pdf["text"], pdf["title"], pdf["agency"]):
-            drop, kept, gaps = reader.delined(t, title if isinstance(title, str) else None, agency if isinstance(agency, str) else None)
+        for i, t, title, agency in zip(*(own.column(c).to_pylist() for c in ("id", "text", "title", "agency"))):
+            drop, kept, gaps = reader.delined(t, title, agency)
             reader.decode(kept)
-            out.append((keys[0], i, drop, [no for no, _ in kept], [s for _, s in kept], gaps, None))
-        if out:
-            out.append((keys[0], None, None, None, None, None, sorted(reader.lex.missed)))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in DELINED.split(", ")])
+            out.append((chunk, i, packed(drop), packed([no for no, _ in kept]), packed(gaps), "\n".join([s for _, s in kept]), None))
+        out.append((chunk, None, None, None, None, None, sorted(reader.lex.missed)))
+        return pa.table(list(map(list, zip(*out))), schema=delined_schema)
 
     # By number, so that chunks are not gathered into fewer tasks for their few bytes: the time goes into reading them.
     spread = lambda df: df.repartition(chunks, "chunk").groupBy("chunk")
-    first = cut_to_table(spread(pages).cogroup(spread(known)).applyInPandas(note, DELINED), "delined")
-    asked = first.where(F.col("asked").isNotNull()).select("chunk", F.explode("asked").alias("w"))
-    known = known.unionByName(lex.join(asked, "w").select("chunk", "w", "n"))
+    first = cut_to_table(spread(pages).applyInArrow(note, DELINED), "delined")
+    asked = first.where(F.col("asked").isNotNull()).select(F.col("chunk").alias("of"), F.explode("asked").alias("w"))
+    rarer = lex.join(asked, "w").select(F.col("of").alias("chunk"), "w", "n")
 
-    def run(keys: tuple, pdf: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        reader = Reader(Lexicon(dict(zip(words["w"], words["n"])), total), furniture.value)
-        got = [reader.finish(list(drop), list(zip(no, line)), list(gap), whole) for drop, no, line, gap in zip(pdf["drop"], pdf["no"], pdf["line"], pdf["gap"])]
-        return pd.DataFrame({"id": pdf["id"], "repaired": [g[0] for g in got], "lines": [[{"line_no": n, "kind": k} for n, k in g[1]] for g in got]})
+    def run(own: pa.Table, words: pa.Table) -> pa.Table:
+        reader = Reader(Lexicon({**known.value, **dict(zip(words.column("w").to_pylist(), words.column("n").to_pylist()))}, total), furniture.value)
+        ids, drops, nos, gaps, lines = (own.column(c).to_pylist() for c in ("id", "drop", "no", "gap", "lines"))
+        got = [reader.finish(unpacked(drop), list(zip(unpacked(no), line.split("\n"))), unpacked(gap), whole) for drop, no, gap, line in zip(drops, nos, gaps, lines)]
+        return pa.table([ids, [g[0] for g in got], [[{"line_no": n, "kind": k} for n, k in g[1]] for g in got]], schema=repaired_schema)
 
     delined = first.where(F.col("asked").isNull()).drop("asked")
-    return spread(delined).cogroup(spread(known)).applyInPandas(run, REPAIRED)
+    return spread(delined).cogroup(spread(rarer)).applyInArrow(run, REPAIRED)
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:

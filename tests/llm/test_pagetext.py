@@ -1,9 +1,12 @@
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from archivolt.llm.pagetext import Lexicon, Reader, lexicon, repair_pages, templates
+from archivolt.functions.gazetteer import edits
+from archivolt.llm import pagetext
+from archivolt.llm.pagetext import Lexicon, Reader, Stamps, count_words, lexicon, repair_pages, templates
 
 LEX = {w: n for n, ws in ((900, "the of and was a in not"), (200, "noted clock number bright nurse page folder corner modern returned low level light window mirror contradict"), (40, "something ordinance thunderhead")) for w in ws.split()}
 
@@ -121,3 +124,53 @@ def test_planted_pages_come_out_whole_at_any_size(spark):
     more = pages + [(f"x{i}", t, ps) for i, t, ps in planted(rnd, 400)]
     large = {r["id"]: r for r in repair_pages(spark.createDataFrame([(i, t, None, None) for i, t, _ in more], schema), chunk_chars=20_000).collect()}
     assert all(large[i]["repaired"] == small[i]["repaired"] and large[i]["lines"] == small[i]["lines"] for i, _, _ in pages)
+
+
+def test_stamps_are_looked_up_not_gone_through(monkeypatch):
+    """Lines are compared with the templates that share a piece in its place, so more templates cost no more comparisons."""
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    lines = [" ".join(word() for _ in range(3)) + " as office copy" for _ in range(300)]
+    tried = [0]
+    monkeypatch.setattr(pagetext, "edits", lambda *a: tried.__setitem__(0, tried[0] + 1) or edits(*a))
+    # every template has a piece that stands in every line, but at another place
+    r = reader([f"as office copy {word()} {word()} {word()}" for _ in range(2_000)])
+    assert not any(r.stamp(x) for x in lines) and tried[0] < len(lines)
+
+
+SHORT = st.text("abc ", min_size=6, max_size=14)
+
+
+@given(SHORT, st.lists(st.tuples(st.integers(0, 3), st.integers(0, 13), st.sampled_from("abcx")), max_size=2))
+@settings(max_examples=400, deadline=None)
+def test_stamps_miss_none(template, changes):
+    """A swap over the seam of two pieces and a change in the third leave no piece as it is: the template is found all the same."""
+    s = list(template)
+    for kind, k, c in changes:
+        k = min(k, len(s) - 1)
+        if kind == 0:
+            s[k] = c
+        elif kind == 1:
+            s.insert(k, c)
+        elif kind == 2 and len(s) > 6:
+            s.pop(k)
+        elif k + 1 < len(s):
+            s[k], s[k + 1] = s[k + 1], s[k]
+    line = "".join(s)
+    most = 2 if len(line) >= 8 else 1
+    assert Stamps([template]).near(line, most) == (edits(line, template, most) <= most)
+    assert Stamps(["abcdefghijkl"]).near("abcedfghijxl", 2)
+
+
+def test_words_are_runs_of_letters():
+    batch = pa.record_batch({"text": ["The CAT's 2nd n0te, d’Or ½cup Ⅳx", None, "cat's " * 3]})
+    (got,) = count_words([batch])
+    assert dict(zip(*got.to_pydict().values())) == {"the": 1, "cat's": 4, "nd": 1, "n": 1, "te": 1, "d’or": 1, "cup": 1, "x": 1}
+
+
+def test_rarer_words_are_looked_up(spark):
+    """Pages read alike whether a task has all words at hand or only the two most frequent."""
+    pages = planted(random.Random(7), 30)
+    df = spark.createDataFrame([(i, t, None, None) for i, t, _ in pages], "id string, text string, title string, agency string")
+    few, all_ = ({r["id"]: (r["repaired"], r["lines"]) for r in repair_pages(df, common=n).collect()} for n in (2, 100_000))
+    assert few == all_ and len(few) == 30

@@ -133,10 +133,35 @@ class Chain:
             leave = before
         return out[::-1]
 
+    def around(self, elements: list[tuple], before: list[float], after: list[float]) -> tuple[list[list[float]], list[list[float]]]:
+        """Per element what it costs at least to come to each entry, and to go on from each exit.
 
-def choose_readings(df: DataFrame, source: str, order: str, cands: str = "readings", odd: float = ODD, switch: float = SWITCH, back: float = BACK, block: int = BLOCK) -> DataFrame:
+        ``before`` is that of the first element's entries, ``after`` of the last one's exits.
+        """
+        befores, afters = [before], [after]
+        for (_, _, lt, lf, m), (ft, ff, _, _, _) in zip(elements, elements[1:]):
+            leave = [min(befores[-1][a] + m[a][b] for a in range(len(m))) for b in range(len(m[0]))]
+            befores.append([min(c + self.step(t0, f0, t1, f1) for c, t0, f0 in zip(leave, lt, lf)) for t1, f1 in zip(ft, ff)])
+        for (_, _, lt, lf, _), (ft, ff, _, _, m) in zip(elements[-2::-1], elements[:0:-1]):
+            enter = [min(c + d for c, d in zip(line, afters[-1])) for line in m]
+            afters.append([min(c + self.step(t0, f0, t1, f1) for c, t1, f1 in zip(enter, ft, ff)) for t0, f0 in zip(lt, lf)])
+        return befores, afters[::-1]
+
+
+def margin_of(before: list[float], costs: list[float], after: list[float]) -> float:
+    """By how much the cheapest way through a row is cheaper than the cheapest through any other of its readings."""
+    least, second = sorted(map(sum, zip(before, costs, after)))[:2]
+    return second - least
+
+
+def choose_readings(df: DataFrame, source: str, order: str, cands: str = "readings", odd: float = ODD, switch: float = SWITCH, back: float = BACK, block: int = BLOCK, margin: str | None = None) -> DataFrame:
     """Add ``chosen``, the reading picked for each row (null where there is none).
 
+    With ``margin`` a column of that name says how much dearer the cheapest
+    chain is that picks another reading for the row, where several of its
+    readings go against nothing: 0 is a tie, which the order settles no better
+    than a coin. It is null where a row has at most one such reading.
+
     ``cands`` is an array of (fmt, normal, t, odd) as :func:`interpret` makes
     it; ``order`` is a bigint giving each source's record order; ties are broken
     by the readings themselves, and rows alike in source, order and readings are
@@ -177,8 +202,18 @@ def choose_readings(df: DataFrame, source: str, order: str, cands: str = "readin
 
     def solve(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
-        path = chain.solve(elements(pdf), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]))
-        return pd.DataFrame({"__s": keys[0], "r": pdf["r"], "i": [a for a, _ in path], "j": [b for _, b in path]})
+        es = elements(pdf)
+        path = chain.solve(es, int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]))
+        out = pd.DataFrame({"__s": keys[0], "r": pdf["r"], "i": [a for a, _ in path], "j": [b for _, b in path]})
+        if margin:
+            # Of single rows only those are of interest of which several readings go against nothing.
+            costs = [x.tolist() for x in pdf["open"]]
+            if bool(pdf["single"].iloc[0]) and not any(costs):
+                out["before"], out["after"], out["margin"] = None, None, None
+            else:
+                out["before"], out["after"] = chain.around(es, pdf["before"].iloc[0].tolist(), pdf["after"].iloc[0].tolist())
+                out["margin"] = [margin_of(b, c, a) if c else None for b, c, a in zip(out["before"], costs, out["after"])]
+        return out
 
     element = "__s string, r bigint, ft array<double>, ff array<int>, lt array<double>, lf array<int>, m array<array<double>>"
     group = F.floor(F.col("r") / block).alias("g")
@@ -189,19 +224,32 @@ def choose_readings(df: DataFrame, source: str, order: str, cands: str = "readin
     flat = F.flatten(F.transform("m", lambda row, i: F.transform(row, lambda c, j: F.struct(c.alias("c"), i.alias("i"), j.alias("j")))))
     if len(levels) == 1:
         flat = F.transform(F.col("m")[0], lambda c, i: F.struct(c.alias("c"), i.alias("i"), i.alias("j")))
-    picked = levels[-1].select("__s", "r", F.array_min(flat).alias("x")).select("__s", "r", "x.i", "x.j")
-    for below in reversed(levels[:-1]):
-        held = below.withColumn("g", group).join(picked.withColumnRenamed("r", "g"), ["__s", "g"])
-        picked = cut_to_table(held.groupBy("__s", "g").applyInPandas(solve, "__s string, r bigint, i int, j int"), "chain")
-    picked = rows.where(F.size("ft") > 1).join(picked, ["__s", "r"]).select("__s", "__o", "__k", F.col("i").alias("__i"))
+    several = F.size(F.filter(F.col("m")[0], lambda c: c == 0)) > 1
+    open_costs = F.when(several, F.col("m")[0]).otherwise(F.array().cast("array<double>"))
+    nothing = lambda c: F.transform(c, lambda _: F.lit(0.0))
+    handed = [nothing("ft").alias("before"), nothing("lt").alias("after")] if margin else []
+    told = "__s string, r bigint, i int, j int" + (", before array<double>, after array<double>, margin double" if margin else "")
+    picked = levels[-1].select("__s", "r", F.array_min(flat).alias("x"), *handed).select("__s", "r", "x.i", "x.j", *(["before", "after"] if margin else []))
+    if margin:  # a source of one row: its costs are all there is
+        alone = F.array_sort(F.col("m")[0])
+        picked = picked.join(levels[-1].select("__s", "r", (F.when(several, F.get(alone, F.lit(1)) - alone[0]) if len(levels) == 1 else F.lit(None).cast("double")).alias("margin")), ["__s", "r"])
+    for k in range(len(levels) - 2, -1, -1):
+        below = levels[k].withColumn("g", group)
+        if margin:
+            below = below.withColumn("open", open_costs if k == 0 else F.array().cast("array<double>")).withColumn("single", F.lit(k == 0))
+        held = below.join(picked.drop("margin").withColumnRenamed("r", "g"), ["__s", "g"])
+        picked = cut_to_table(held.groupBy("__s", "g").applyInPandas(solve, told), "chain")
+    picked = rows.where(F.size("ft") > 1).join(picked, ["__s", "r"]).select("__s", "__o", "__k", F.col("i").alias("__i"), *([F.col("margin").alias("__m")] if margin else []))
     plain = df.where(~F.coalesce(open_, F.lit(False))).withColumn("chosen", F.get(F.col(cands), F.lit(0)))
+    if margin:  # rows without an order take their first reading, which is a tie where the next is as good
+        plain = plain.withColumn(margin, F.when(F.size(F.filter(F.col(cands), lambda c: c["odd"] == 0)) > 1, F.lit(0.0)))
     undecided = df.where(open_).select("*", key, F.col(order).cast("bigint").alias("__o"), F.xxhash64(cands).alias("__k"))
-    chosen = undecided.join(picked, ["__s", "__o", "__k"]).select(*df.columns, F.get(F.col(cands), F.col("__i")).alias("chosen"))
+    chosen = undecided.join(picked, ["__s", "__o", "__k"]).select(*df.columns, F.get(F.col(cands), F.col("__i")).alias("chosen"), *([F.col("__m").alias(margin)] if margin else []))
     return plain.unionByName(chosen)
 
 
 def chosen_times(records: DataFrame, places: DataFrame, agencies: DataFrame, pivot: int = 26) -> DataFrame:
-    """(id, field, value, readings, chosen) of every incident_date and release_date.
+    """(id, field, value, readings, chosen, margin) of every incident_date and release_date.
 
     ``agencies`` (agency, code, office_tz) is a bounded reference table, checked.
     The record order of a source is the number in its ids. Rows repeated whole
@@ -223,13 +271,16 @@ def chosen_times(records: DataFrame, places: DataFrame, agencies: DataFrame, piv
     long = long.withColumn("readings", interpret(F.col("value"), F.coalesce("office", zone("place")), pivot))
     long = long.withColumn("source", F.concat_ws("|", F.regexp_extract("id", "^([^0-9]*)", 1), "field")).withColumn("ord", F.regexp_extract("id", r"([0-9]{1,18})", 1).try_cast("bigint"))
     # Written once: the readings come from Python and are used several times below.
-    return choose_readings(cut_to_table(long.select("id", "field", "value", "source", "ord", "readings"), "readings"), "source", "ord")
+    return choose_readings(cut_to_table(long.select("id", "field", "value", "source", "ord", "readings"), "readings"), "source", "ord", margin="margin")
 
 
 def record_times(records: DataFrame, places: DataFrame, agencies: DataFrame, pivot: int = 26) -> DataFrame:
     """(id, field, normal) of every incident_date and release_date that reads within the conventions.
 
-    What only a broken convention makes readable, and local times with two
-    instants, are no case here, though :func:`chosen_times` has a choice for them.
+    Where they leave several readings (dashed dates have no convention), the
+    record order decides; if it decides nothing, the value is no case. What only
+    a broken convention makes readable, and local times with two instants, are
+    none either, though :func:`chosen_times` has a choice for them.
     """
-    return chosen_times(records, places, agencies, pivot).where(F.col("chosen.odd") == 0).select("id", "field", F.col("chosen.normal").alias("normal"))
+    settled = F.col("margin").isNull() | (F.col("margin") > 0)
+    return chosen_times(records, places, agencies, pivot).where((F.col("chosen.odd") == 0) & settled).select("id", "field", F.col("chosen.normal").alias("normal"))

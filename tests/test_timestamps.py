@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import timeparse
 from archivolt.functions.gazetteer import Gazetteer, edits
-from archivolt.operators.timestamps import Chain, choose_readings, interpret, record_times
+from archivolt.operators.timestamps import Chain, choose_readings, interpret, margin_of, record_times
 
 PLACES = [(1, "Dreygate", "Arizona", "America/Phoenix"), (2, "Lake Fenaridge", "Illinois", "America/Chicago"), (3, "Twinham", "Ohio", "America/New_York"), (4, "Twinham", "Iowa", "America/Chicago")]
 
@@ -150,6 +150,36 @@ def test_record_times(spark):
     assert record_times(df.limit(0), places, agencies).count() == 0
 
 
+@given(READINGS)
+@settings(max_examples=150, deadline=None)
+def test_margins(rows):
+    """What another reading of a row would cost, against all ways through a short chain."""
+    chain = Chain(1.0, 2.0)
+    cost, least = cheapest(rows)
+    es = [chain.row([t for t, _, _ in r], [f for _, f, _ in r], [c for _, _, c in r]) for r in rows]
+    befores, afters = chain.around(es, [0.0] * len(rows[0]), [0.0] * len(rows[-1]))
+    ways = list(itertools.product(*[range(len(r)) for r in rows]))
+    for k, r in enumerate(rows):
+        by = sorted(min(cost(p) for p in ways if p[k] == i) for i in range(len(r)))
+        if len(by) > 1:
+            assert by[0] == least and margin_of(befores[k], [c for _, _, c in r], afters[k]) == by[1] - by[0]
+
+
+def test_dashed_dates_are_told_where_the_order_decides(spark):
+    """Blocks of three rows and one block give the same margins; a value that nothing decides is not told."""
+    places = spark.createDataFrame(PLACES, "place_id int, name string, area string, tz string")
+    agencies = spark.createDataFrame([("Desk", "desk", "Europe/London")], "agency string, code string, office_tz string")
+    dates = {"a-1": "01-02-2003", "a-2": "25-02-2003", "a-3": "01-03-2003", "b-1": "2003-05-06", "b-2": "04-05-2003", "b-3": "2003-05-06", "c-1": "01-02-2003", "d-1": "01-02-2003", "d-2": "01-02-2003", "e": "05-06-2003", "f-1": "2021-11-07 01:30"}
+    df = spark.createDataFrame([(i, "Desk", v, None, "Twinham, Ohio") for i, v in dates.items()], "id string, agency string, incident_date string, release_date string, incident_location string")
+    got = {r["id"]: r["normal"] for r in record_times(df, places, agencies).collect()}
+    # b-2: 4 May or 5 April, either before both its neighbours or after none; c, d, e: either order; f: two instants
+    assert got == {"a-1": "2003-02-01", "a-2": "2003-02-25", "a-3": "2003-03-01", "b-1": "2003-05-06", "b-3": "2003-05-06"}
+    rows = [("s", k, v) for k, v in enumerate(["01-02-2003", "02-02-2003", "2003-02-02", "03-02-2003", "25-02-2003", "3/4/2003", "04-03-2003", "05-03-2003"])] + [("t", 1, "01-02-2003")]
+    df = spark.createDataFrame(rows, "source string, ord int, value string").withColumn("readings", interpret(F.col("value"), F.lit("UTC")))
+    small, large = ({(r["source"], r["ord"]): r["m"] for r in choose_readings(df, "source", "ord", block=n, margin="m").collect()} for n in (3, 4096))
+    assert small == large and small["t", 1] == 0 and small["s", 3] > 0 and small["s", 5] is None and len(small) == len(rows)
+
+
 def test_gazetteer():
     g = Gazetteer(PLACES)
     assert g.resolve("DREYGATE AZ")[0] == [1]
